@@ -15,13 +15,14 @@ WORD_LETTERS = r"\A[a-zA-Zа-яА-ЯёЁіІїЇєЄґҐ-]+\z"
 WILDCARDS = "[?%]"
 
 
-def clean_value(spec: FieldSpec, stripped: Column) -> Column:
+def clean_value(spec: FieldSpec, stripped: Column, digits: Column | None = None) -> Column:
     """The stored form of a valid value, null for an invalid one.
 
-    ``stripped`` is the value without outer blanks.
+    ``stripped`` is the value without outer blanks. Callers that hold its digits
+    pass them, so that they are not computed again per use.
     """
     if spec.kind == "digits":
-        digits = digits_only(stripped)
+        digits = digits_only(stripped) if digits is None else digits
         return F.when(F.length(digits).between(spec.low, spec.high), digits)
     if spec.kind == "digits_exact":
         lengths = "|".join(f"[0-9]{{{n}}}" for n in spec.lengths)
@@ -78,21 +79,6 @@ def mined_digit_runs(spec: FieldSpec, value: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(value, F.lit(f"([0-9]{{{spec.low},{spec.high}}})"), F.lit(1)))
 
 
-def fallback_terms(spec: FieldSpec, invalid: Column) -> Column:
-    """Terms under which an invalid value can still be found."""
-    if spec.kind == "digits":
-        return mined_digit_runs(spec, invalid)
-    return F.array(index_term(spec, invalid))
-
-
-def posting_terms(spec: FieldSpec, valid: Column, invalid: Column) -> Column:
-    """Distinct non-empty terms of one field; null sides contribute nothing."""
-    none = F.array().cast("array<string>")
-    from_valid = F.when(valid.isNotNull(), F.array(index_term(spec, strip(valid)))).otherwise(none)
-    from_invalid = F.when(invalid.isNotNull(), fallback_terms(spec, strip(invalid))).otherwise(none)
-    return F.array_remove(F.array_union(from_valid, from_invalid), "")
-
-
 def has_wildcard(term: Column) -> Column:
     return term.contains("?") | term.contains("%")
 

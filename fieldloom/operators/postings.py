@@ -1,4 +1,10 @@
-"""The inverted index: one row per document, field and term."""
+"""The inverted index: one row per document, field and term.
+
+Terms are laid out as one array per row and unfolded once. Everything is a
+built-in expression with generated code: no lambdas, no shuffle, no Python.
+Values used more than once (a stripped value, its digits) are columns of their
+own stage, because inside CASE branches Spark would compute them per use.
+"""
 
 from __future__ import annotations
 
@@ -6,75 +12,104 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.catalog import Catalog, FieldSpec
-from fieldloom.functions.blanks import null_if_empty, strip
-from fieldloom.functions.fields import by_field, clean_value, posting_terms
-from fieldloom.functions.shards import shard_name
+from fieldloom.functions.blanks import digits_only, strip
+from fieldloom.functions.fields import index_term, mined_digit_runs
+from fieldloom.functions.shards import with_shards
 from fieldloom.operators.records import INVALID_PREFIX, composed_name, document_id, row_id
 
 COLUMNS = ("field", "shard", "term", "doc_id", "source_table", "row_id")
+ENTRIES = "array<struct<field:string,term:string>>"
 
 
 def postings(documents: DataFrame, catalog: Catalog) -> DataFrame:
-    """Postings of stored documents: one scan, no shuffle, no Python."""
-    return _explode_terms(
-        documents.select(
-            "doc_id",
-            "source_table",
-            "row_id",
-            _terms(
-                catalog,
-                lambda spec: posting_terms(
-                    spec, F.col("fields")[spec.name], F.col("invalid_fields")[INVALID_PREFIX + spec.name]
-                ),
-            ).alias("_entries"),
-        ),
-        catalog,
+    """Postings of stored documents.
+
+    A field is found under the term of its valid value and under the fallback
+    terms of its invalid one, each term once per document.
+    """
+    valid, invalid = "_valid_{}".format, "_invalid_{}".format
+    stripped = documents.select(
+        "doc_id",
+        "source_table",
+        "row_id",
+        *[strip(F.col("fields")[s.name]).alias(valid(s.name)) for s in catalog.indexed],
+        *[strip(F.col("invalid_fields")[INVALID_PREFIX + s.name]).alias(invalid(s.name)) for s in catalog.indexed],
     )
+    first, second = "_first_{}".format, "_second_{}".format
+    termed = stripped.select(
+        "doc_id",
+        "source_table",
+        "row_id",
+        *[index_term(s, F.col(valid(s.name))).alias(first(s.name)) for s in catalog.indexed],
+        *[_fallback(s, F.col(invalid(s.name))).alias(second(s.name)) for s in catalog.indexed],
+    )
+    entries = []
+    for spec in catalog.indexed:
+        one, other = F.col(first(spec.name)), F.col(second(spec.name))
+        entries.append(_single(spec, one))
+        if spec.kind == "digits":
+            entries.append(_several(spec, F.coalesce(F.array_remove(other, one), other)))
+        else:
+            entries.append(_single(spec, F.when(~one.eqNullSafe(other), other)))
+    return _unfold(termed, entries, catalog)
 
 
 def record_postings(records: DataFrame, catalog: Catalog) -> DataFrame:
     """The same postings straight from raw records.
 
     Skips the document maps, so over tables Catalyst reads only the columns
-    behind the catalogue's fields and keeps all work in generated code. Used for
-    a first build or to answer a query on data that has no index yet.
+    behind the catalogue's fields. A value is either valid or not, and except
+    for mined digit runs its term is the same in both cases.
     """
-    raw = F.col("raw")
-
-    def terms_of(spec: FieldSpec) -> Column:
-        value = raw[spec.name]
-        if catalog.names is not None and spec.name == catalog.names.target:
-            given = F.map_contains_key(raw, spec.name)
-            value = F.when(given, value).otherwise(composed_name(raw, catalog.names))
-        elif catalog.names is not None and spec.name in catalog.names.parts:
-            value = F.lit(None).cast("string")
-        stripped = null_if_empty(strip(value))
-        clean = clean_value(spec, stripped)
-        return posting_terms(spec, clean, F.when(clean.isNull(), stripped))
+    raw, names = F.col("raw"), catalog.names
+    value, digits, runs = "_value_{}".format, "_digits_{}".format, "_runs_{}".format
+
+    def given(spec: FieldSpec) -> Column:
+        if names is not None and spec.name == names.target:
+            return F.when(F.map_contains_key(raw, spec.name), raw[spec.name]).otherwise(composed_name(raw, names))
+        if names is not None and spec.name in names.parts:
+            return F.lit(None).cast("string")
+        return raw[spec.name]
 
     row = row_id(raw, F.col("seq"))
-    return _explode_terms(
-        records.select(
-            document_id(F.col("source_table"), row).alias("doc_id"),
-            "source_table",
-            row.alias("row_id"),
-            _terms(catalog, terms_of).alias("_entries"),
-        ),
-        catalog,
+    rows = records.select(
+        document_id(F.col("source_table"), row).alias("doc_id"),
+        "source_table",
+        row.alias("row_id"),
+        *[strip(given(s)).alias(value(s.name)) for s in catalog.indexed],
     )
+    mining = [s for s in catalog.indexed if s.kind == "digits"]
+    rows = rows.select("*", *[digits_only(F.col(value(s.name))).alias(digits(s.name)) for s in mining])
+    fits = {s.name: F.length(digits(s.name)).between(s.low, s.high) for s in mining}
+    rows = rows.select(
+        "*", *[F.when(~fits[s.name], mined_digit_runs(s, F.col(value(s.name)))).alias(runs(s.name)) for s in mining]
+    )
+    entries = []
+    for spec in catalog.indexed:
+        if spec.kind == "digits":
+            entries.append(_single(spec, F.when(fits[spec.name], F.col(digits(spec.name)))))
+            entries.append(_several(spec, F.col(runs(spec.name))))
+        else:
+            entries.append(_single(spec, index_term(spec, F.col(value(spec.name)))))
+    return _unfold(rows, entries, catalog)
+
+
+def _fallback(spec: FieldSpec, stripped: Column) -> Column:
+    return mined_digit_runs(spec, stripped) if spec.kind == "digits" else index_term(spec, stripped)
+
+
+def _single(spec: FieldSpec, term: Column) -> Column:
+    return F.array(F.struct(F.lit(spec.name).alias("field"), term.alias("term")))
 
 
-def _terms(catalog: Catalog, terms_of) -> Column:
-    """All (field, term) pairs of a row as one array."""
-    specs = catalog.indexed
-    per_field = [
-        F.transform(terms_of(spec), lambda t, s=spec: F.struct(F.lit(s.name).alias("field"), t.alias("term")))
-        for spec in specs
-    ]
-    return F.flatten(F.array(*per_field))
+def _several(spec: FieldSpec, terms: Column) -> Column:
+    found = F.coalesce(terms, F.array().cast("array<string>"))
+    return F.arrays_zip(F.array_repeat(F.lit(spec.name), F.size(found)), found).cast(ENTRIES)
 
 
-def _explode_terms(rows: DataFrame, catalog: Catalog) -> DataFrame:
-    exploded = rows.select("doc_id", "source_table", "row_id", F.inline("_entries"))
-    shard = by_field(catalog, F.col("field"), lambda spec: shard_name(spec, F.col("term")))
-    return exploded.withColumn("shard", shard).select(*COLUMNS)
+def _unfold(rows: DataFrame, entries: list[Column], catalog: Catalog) -> DataFrame:
+    listed = rows.select("doc_id", "source_table", "row_id", F.concat(*entries).alias("_entries"))
+    # The outer form: for the plain one Spark adds a "not empty" filter below,
+    # which would compute the whole array a second time.
+    unfolded = listed.select("doc_id", "source_table", "row_id", F.inline_outer("_entries")).where(F.col("term") != "")
+    return with_shards(unfolded, catalog).select(*COLUMNS)

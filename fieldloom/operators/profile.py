@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.shards import document_shard
 from fieldloom.functions.texts import byte_size
+from fieldloom.operators.positions import running_totals
 
 TOP_SHARDS = 20
 
@@ -102,18 +103,23 @@ def duplicate_ids(documents: DataFrame) -> DataFrame:
     return counted.where("copies > 1")
 
 
-def sample_stats(samples: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Count, minimum, maximum, mean and exact interpolated median.
+def sample_stats(samples: DataFrame, by: str, value: str, blocks: int = 1000) -> DataFrame:
+    """Count, minimum, maximum, mean and exact median of ``value`` per group.
 
-    The median is taken from value counts: samples are first combined per
-    distinct value, and only those pairs are ranked.
+    Samples are combined per distinct value; the median is the mean of the
+    values at the two middle ranks, found by running totals over blocks of the
+    value range. No task or buffer holds a whole group.
     """
-    counts = samples.groupBy(*by, value).agg(F.count("*").alias("n"))
-    column = F.col(value)
-    return counts.groupBy(*by).agg(
+    counts = samples.groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    totals = counts.groupBy(by).agg(
         F.sum("n").alias("samples"),
-        F.min(column).alias("min"),
-        F.max(column).alias("max"),
-        (F.sum(column * F.col("n")) / F.sum("n")).alias("mean"),
-        F.percentile(column, F.lit(0.5), F.col("n")).alias("median"),
+        F.min("v").alias("min"),
+        F.max("v").alias("max"),
+        (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
     )
+    placed = counts.join(totals, by).withColumn("spread", F.greatest(F.col("max") - F.col("min"), F.lit(1e-300)))
+    block = F.floor((F.col("v") - F.col("min")) / F.col("spread") * blocks)
+    ranked = running_totals(placed, by=[by], order=["v"], totals={"below": F.col("n")}, block=block)
+    low, high = F.expr("(samples - 1) div 2"), F.expr("samples div 2")
+    middle = ranked.where((F.col("below") <= high) & (F.col("below") + F.col("n") > low))
+    return middle.groupBy(by, "samples", "min", "max", "mean").agg(((F.min("v") + F.max("v")) / 2).alias("median"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.catalog import Catalog, NameParts
-from fieldloom.functions.blanks import null_if_empty, strip
+from fieldloom.functions.blanks import digits_only, null_if_empty, strip
 from fieldloom.functions.fields import clean_value
 
 INVALID_PREFIX = "no_valid_"
@@ -42,27 +42,38 @@ def document_id(source_table: Column, row: Column) -> Column:
     return F.concat(source_table, F.lit(":"), row)
 
 
-def route(raw: Column, catalog: Catalog) -> tuple[Column, Column]:
-    """Split a shaped record into ``fields`` and ``invalid_fields``.
+def route(raw: Column, catalog: Catalog) -> tuple[Column, list[str]]:
+    """Entries ``key, given, value`` of a shaped record, and the checked keys.
 
-    Catalogue fields go to one side or the other; other keys pass through
-    stripped. Entry order is kept, because exports list columns by it.
+    ``value`` is the clean value of a catalogue field, null when it is invalid;
+    other keys pass through stripped. Entry order is kept, because exports list
+    columns by it.
     """
     known = [spec.name for spec in catalog]
+    numeric = [spec.name for spec in catalog if spec.kind == "digits"]
 
-    def kept(entry: Column) -> Column:
-        value = strip(entry["value"])
-        out = None
-        for spec in catalog:
-            here = entry["key"] == spec.name
-            clean = clean_value(spec, value)
-            out = F.when(here, clean) if out is None else out.when(here, clean)
-        return value if out is None else out.otherwise(value)
+    # One stage per step: a value used by a later step is computed once.
+    def stripped(entry: Column) -> Column:
+        return F.struct(entry["key"].alias("key"), strip(entry["value"]).alias("given"))
+
+    def with_digits(entry: Column) -> Column:
+        digits = F.when(entry["key"].isin(*numeric), digits_only(entry["given"])) if numeric else F.lit("")
+        return F.struct(entry["key"].alias("key"), entry["given"].alias("given"), digits.alias("digits"))
+
+    def checked(entry: Column) -> Column:
+        value = entry["given"]
+        for spec in reversed(catalog.fields):
+            clean = clean_value(spec, entry["given"], entry["digits"])
+            value = F.when(entry["key"] == spec.name, clean).otherwise(value)
+        return F.struct(entry["key"].alias("key"), entry["given"].alias("given"), value.alias("value"))
 
     filled = F.filter(F.map_entries(raw), lambda e: e["value"].isNotNull() & (e["value"] != ""))
-    routed = F.transform(
-        filled, lambda e: F.struct(e["key"].alias("key"), kept(e).alias("value"), strip(e["value"]).alias("given"))
-    )
+    routed = F.transform(F.transform(F.transform(filled, stripped), with_digits), checked)
+    return routed, known
+
+
+def route_sides(routed: Column, known: list[str]) -> tuple[Column, Column]:
+    """The valid and the invalid side of routed entries, as maps."""
     fields = F.transform(
         F.filter(routed, lambda e: e["value"].isNotNull()),
         lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")),
@@ -77,7 +88,9 @@ def route(raw: Column, catalog: Catalog) -> tuple[Column, Column]:
 def documents(records: DataFrame, catalog: Catalog, imported_at: Column | None = None) -> DataFrame:
     """One document per raw record. A projection: no shuffle."""
     shaped = records.withColumn("_shaped", shape_names(F.col("raw"), catalog.names))
-    fields, invalid = route(F.col("_shaped"), catalog)
+    routed, known = route(F.col("_shaped"), catalog)
+    shaped = shaped.withColumn("_routed", routed)
+    fields, invalid = route_sides(F.col("_routed"), known)
     row = row_id(F.col("raw"), F.col("seq"))
     stamp = imported_at if imported_at is not None else F.current_timestamp()
     return shaped.select(

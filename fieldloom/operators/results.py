@@ -135,7 +135,7 @@ def suggestions(
     limit is part of the feature: a short list of proposals.
     """
     shown = [spec.name for spec in catalog.indexed]
-    cells = records.select("source_table", "seq", F.posexplode("fields").alias("pos", "field", "value"))
+    cells = records.select("source_table", "seq", F.posexplode_outer("fields").alias("pos", "field", "value"))
     cells = cells.withColumn("value", strip(F.col("value")))
     cells = cells.where(F.col("field").isin(*shown) & (F.col("value") != ""))
     for name, value in query.items():
@@ -151,7 +151,7 @@ def suggestions(
 def facet_counts(records: DataFrame) -> DataFrame:
     """How often each value of each field occurs. One row per value: a field
     with many distinct values stays spread out."""
-    cells = records.select(F.explode("fields").alias("key", "value"))
+    cells = records.select(F.explode_outer("fields").alias("key", "value"))
     return cells.groupBy("key", "value").agg(F.count("*").alias("n"))
 
 

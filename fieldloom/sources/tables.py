@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.catalog import Catalog, FieldSpec, NameParts
 from fieldloom.functions.blanks import null_if_empty
+from fieldloom.operators.postings import record_postings
 
 #: The catalogue used for the synthetic tables.
 TABLE_CATALOG = Catalog(
@@ -34,7 +35,8 @@ TABLE_CATALOG = Catalog(
     names=NameParts("label", ("first_word", "second_word")),
 )
 
-ADDRESS = "[^ @\n]+@[^ @\n]+"
+# Possessive on the left: a long run without "@" is passed once, not per start.
+ADDRESS = "[^ @\n]++@[^ @\n]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -165,9 +167,20 @@ def all_records(spark: SparkSession, sf_dir: str, names: list[str] | None = None
     return union
 
 
-def sources_with(fields: set[str]) -> list[str]:
-    """Sources that carry all the given fields."""
-    return [name for name, carried in SOURCE_FIELDS.items() if fields <= carried]
+def table_postings(spark: SparkSession, sf_dir: str, fields: set[str] | None = None) -> DataFrame:
+    """Postings of the tables for the given fields (all by default).
+
+    A source only contributes the fields it can carry, and is not read at all
+    when it carries none of them.
+    """
+    union = None
+    for name, carried in SOURCE_FIELDS.items():
+        wanted = carried if fields is None else carried & fields
+        if not wanted:
+            continue
+        part = record_postings(SOURCES[name](spark, sf_dir), TABLE_CATALOG.only(wanted))
+        union = part if union is None else union.unionByName(part)
+    return union
 
 
 def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
