@@ -163,7 +163,7 @@ def on_base(sql: str, more: str = "") -> str:
 
 IDS = "doc_id, source_table"
 REF_HITS = "SELECT DISTINCT doc_id, source_table FROM post WHERE field = 'ref' AND term = '000000001'"
-RANGE_HITS = "SELECT DISTINCT doc_id, source_table FROM post WHERE field = 'ref' AND term LIKE '00000001%'"
+RANGE_HITS = "SELECT DISTINCT doc_id, source_table FROM post WHERE field = 'ref' AND term LIKE '0000001%'"
 STATUS_HITS = "SELECT DISTINCT doc_id, source_table FROM post WHERE field = 'status' AND term = 'F'"
 
 

@@ -37,7 +37,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 REF = {"ref": "000-000-001"}
-REF_RANGE = {"ref": "00000001%"}
+REF_RANGE = {"ref": "0000001%"}
 
 
 def query(build: Query) -> Query:

@@ -7,6 +7,7 @@ built from columns, so a plan that needs two keys reads two columns.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +40,28 @@ TABLE_CATALOG = Catalog(
 ADDRESS = "[^ @\n]++@[^ @\n]+"
 
 
+# Given schemas spare a job that reads file footers per table.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _records(df: DataFrame, source: str, key: str, keys: dict[str, Column]) -> DataFrame:
@@ -160,11 +181,7 @@ SOURCE_FIELDS: dict[str, frozenset[str]] = {
 
 def all_records(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> DataFrame:
     """The union of the named sources (all by default)."""
-    chosen = [SOURCES[n](spark, sf_dir) for n in (names or SOURCES)]
-    union = chosen[0]
-    for part in chosen[1:]:
-        union = union.unionByName(part)
-    return union
+    return reduce(DataFrame.unionByName, [SOURCES[n](spark, sf_dir) for n in (names or SOURCES)])
 
 
 def table_postings(spark: SparkSession, sf_dir: str, fields: set[str] | None = None) -> DataFrame:
@@ -173,14 +190,15 @@ def table_postings(spark: SparkSession, sf_dir: str, fields: set[str] | None = N
     A source only contributes the fields it can carry, and is not read at all
     when it carries none of them.
     """
-    union = None
+    groups: dict[frozenset[str], list[str]] = {}
     for name, carried in SOURCE_FIELDS.items():
         wanted = carried if fields is None else carried & fields
-        if not wanted:
-            continue
-        part = record_postings(SOURCES[name](spark, sf_dir), TABLE_CATALOG.only(wanted))
-        union = part if union is None else union.unionByName(part)
-    return union
+        if wanted:
+            groups.setdefault(frozenset(wanted), []).append(name)
+    parts = [
+        record_postings(all_records(spark, sf_dir, names), TABLE_CATALOG.only(wanted)) for wanted, names in groups.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
