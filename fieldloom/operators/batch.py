@@ -69,7 +69,7 @@ def matched_terms(terms: DataFrame, words: DataFrame, salts: int = SALTS) -> Dat
         wildcard_regex(F.col("term")).alias("regex"),
         literal_prefix(F.col("term")).alias("prefix"),
     )
-    size = F.filter(lengths, lambda n: n <= F.length("prefix"))[0]
+    size = F.get(F.filter(lengths, lambda n: n <= F.length("prefix")), F.lit(0))
     patterns = patterns.select(
         "query_id", "field", "pattern", "regex", size.alias("size"), F.substring(F.col("prefix"), F.lit(1), size).alias("key"), spread
     )

@@ -15,6 +15,7 @@ def column_order(records: DataFrame) -> DataFrame:
     gathered list is as long as the header line, whatever the number of records.
     """
     cells = records.select("source_table", "seq", F.posexplode_outer(F.map_keys("fields")).alias("pos", "key"))
+    cells = cells.where(F.col("key").isNotNull())
     firsts = cells.groupBy("source_table", "key").agg(F.min(F.struct("seq", "pos")).alias("place"))
     return firsts.groupBy("source_table").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("place", "key"))), lambda e: e["key"]).alias("columns")

@@ -20,13 +20,21 @@ SUGGESTIONS = 24
 
 
 def fetch(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents of the given ids; the first one when an id is stored twice.
+    """The documents of the given ids; the first one when an id is stored twice."""
+    return first_of_each(documents, ids)
+
+
+def first_of_each(documents: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """The first stored document per id, optionally for some ids only.
 
     The first is decided on three narrow columns. Full rows are then picked by
     (id, source, number), a key that also spreads many copies of one id.
     """
     keys = ["doc_id", "source_table"]
-    firsts = documents.select(*keys, "seq").join(ids.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.min("seq").alias("seq"))
+    narrow = documents.select(*keys, "seq")
+    if ids is not None:
+        narrow = narrow.join(ids.select(*keys), keys, "left_semi")
+    firsts = narrow.groupBy(*keys).agg(F.min("seq").alias("seq"))
     return documents.join(firsts, [*keys, "seq"], "left_semi")
 
 
@@ -150,7 +158,7 @@ def suggestions(
 def facet_counts(records: DataFrame) -> DataFrame:
     """How often each value of each field occurs. One row per value: a field
     with many distinct values stays spread out."""
-    cells = records.select(F.explode_outer("fields").alias("key", "value"))
+    cells = records.select(F.explode_outer("fields").alias("key", "value")).where(F.col("key").isNotNull())
     return cells.groupBy("key", "value").agg(F.count("*").alias("n"))
 
 

@@ -83,7 +83,8 @@ def records_of(files: DataFrame, keep: list[str]) -> DataFrame:
     """
     parsed = files.select(*keep, parse_records(F.col("content")).alias("_records"))
     checked = F.coalesce("_records", F.raise_error(F.lit("a file is not readable as JSON records")).cast(RECORDS))
-    rows = parsed.select(*keep, F.posexplode_outer(checked).alias("pos", "raw"))
+    # The outer form keeps Spark from parsing twice to test for empty files.
+    rows = parsed.select(*keep, F.posexplode_outer(checked).alias("pos", "raw")).where(F.col("pos").isNotNull())
     return rows.select(*keep, (F.col("pos") + 1).cast("bigint").alias("seq"), last_entry_wins(F.col("raw")).alias("raw"))
 
 

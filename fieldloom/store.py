@@ -28,6 +28,7 @@ SOURCE_SCHEMA = (
 )
 MANIFEST_SCHEMA = "file_name string, size bigint, mtime timestamp"
 POSTING_SCHEMA = "shard string, term string, doc_id string, source_table string, row_id string, field string"
+STATS_SCHEMA = "field string, shard string, n bigint"
 RUN_SCHEMA = "run bigint, mode string, version bigint, files_new bigint, files_reused bigint, entries bigint"
 
 
@@ -78,7 +79,7 @@ class RecordStore:
 
     @property
     def shard_stats(self) -> DataFrame:
-        return self._latest("shard_stats", "field string, shard string, n bigint")[0]
+        return self._latest("shard_stats", STATS_SCHEMA)[0]
 
     # -- import -----------------------------------------------------------
 
@@ -134,15 +135,17 @@ class RecordStore:
             F.col("path").alias("file_name"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")
         )
 
-    def build_index(self, max_files: int | None = None) -> Row:
+    def build_index(self) -> Row:
         """Bring the index up to date; returns the run's row.
 
         A changed or removed file asks for a full build, which goes to a new
-        version while the old one stays searchable. New files alone are
-        appended by the stream that remembers what it has indexed.
+        version while the old one stays searchable. New files alone are indexed
+        and added. Each run writes to a folder of its own: a run that was lost
+        half-way is simply written again.
         """
         previous, version = self._latest("manifests", MANIFEST_SCHEMA)
-        plan = manifest.build_mode(manifest.manifest_diff(previous, self.document_files())).first()
+        diff = manifest.manifest_diff(previous, self.document_files())
+        plan = manifest.build_mode(diff).first()
         last = self._last_run()
         run = 0 if last is None else last["run"] + 1
         target = 0 if last is None else last["version"]
@@ -150,23 +153,29 @@ class RecordStore:
             target += 1
 
         if plan["mode"] != "noop":
+            found = self.documents
+            if plan["mode"] == "incremental":
+                # File names only, and of new files only: Spark's own file
+                # listing holds as much on the driver.
+                names = [r["file_name"] for r in diff.where("state = 'new'").select("file_name").collect()]
+                reader = self.spark.read.schema(DOCUMENT_SCHEMA).option("basePath", f"{self.root}/documents")
+                found = reader.parquet(*names)
             listed = self.document_files()
-            listed.write.parquet(f"{self.root}/manifests/v={version + 1}")
-            place = f"{self.root}/postings/v={target}"
-            index_new_files(
-                self.spark, f"{self.root}/documents", place, f"{self.root}/checkpoints/v={target}", self.catalog, max_files
-            ).awaitTermination()
-        stored = self._table(f"postings/v={target}", POSTING_SCHEMA)
-        stats, stats_version = self._latest("shard_stats", "field string, shard string, n bigint")
-        if plan["mode"] != "noop":
+            sinks.write_postings(postings(found, self.catalog), f"{self.root}/postings/v={target}/run={run}", mode="overwrite")
+            stored = self._table(f"postings/v={target}", POSTING_SCHEMA)
+            _, stats_version = self._latest("shard_stats", STATS_SCHEMA)
             profile.shard_stats(stored).write.parquet(f"{self.root}/shard_stats/v={stats_version + 1}")
-            stats = self.shard_stats
-        entries = stats.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            listed.write.parquet(f"{self.root}/manifests/v={version + 1}")
+        entries = self.shard_stats.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         row = (run, plan["mode"], target, plan["new"], plan["unchanged"], entries)
         done = self.spark.createDataFrame([row], RUN_SCHEMA)
         done.write.mode("append").parquet(f"{self.root}/runs")
         return done.first()
 
+    def index_stream(self, place: str, checkpoint: str, max_files: int | None = None):
+        """A stream that keeps postings at ``place`` up to date with new files."""
+        return index_new_files(self.spark, f"{self.root}/documents", place, checkpoint, self.catalog, max_files)
+
     # -- search -----------------------------------------------------------
 
     def find(self, query: Mapping[str, str | None], strict: bool = False) -> DataFrame:
@@ -187,7 +196,7 @@ class RecordStore:
                 F.col("source_table").isin(sorted({r["source_table"] for r in few}))
                 & F.col("doc_id").isin([r["doc_id"] for r in few])
             )
-            ids = stored.select("doc_id", "source_table")
+            return results.result_records(results.first_of_each(stored))
         return results.result_records(results.fetch(stored, ids))
 
     def search_chunks(self, query: Mapping[str, str | None], chunk_items: int = results.CHUNK_ITEMS) -> Iterator[list[Row]]:
