@@ -53,8 +53,8 @@ def vocabulary(postings: DataFrame) -> DataFrame:
     return postings.select("field", "term").distinct()
 
 
-def matched_terms(terms: DataFrame, words: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Terms of the vocabulary each wildcard query matches.
+def matched_terms(terms: DataFrame, words: DataFrame, keep: tuple[str, ...] = (), salts: int = SALTS) -> DataFrame:
+    """Terms of ``words`` each wildcard query matches, with the columns in ``keep``.
 
     An equi-join on a prefix of fixed length proposes the pairs and LIKE decides.
     The longest key length that fits the pattern's literal prefix is used. The
@@ -76,16 +76,17 @@ def matched_terms(terms: DataFrame, words: DataFrame, salts: int = SALTS) -> Dat
     keyed = words.select(
         "field",
         "term",
-        F.pmod(F.xxhash64("term"), F.lit(salts)).cast("int").alias("salt"),
+        *keep,
+        F.pmod(F.xxhash64("term", *keep), F.lit(salts)).cast("int").alias("salt"),
         F.explode(F.filter(lengths, lambda n: n <= F.length("term"))).alias("size"),
     ).withColumn("key", F.substring(F.col("term"), F.lit(1), F.col("size")))
     pairs = keyed.join(patterns, ["field", "size", "key", "salt"])
-    return pairs.where(wildcard_match(F.col("term"), F.col("pattern"), F.col("regex"))).select("query_id", "field", "term")
+    return pairs.where(wildcard_match(F.col("term"), F.col("pattern"), F.col("regex"))).select("query_id", "field", "term", *keep)
 
 
 def wildcard_hits(postings: DataFrame, terms: DataFrame, salts: int = SALTS) -> DataFrame:
     """Hits of wildcard terms. A document is reported once per query."""
-    matched = matched_terms(terms, vocabulary(postings), salts)
+    matched = matched_terms(terms, vocabulary(postings), salts=salts)
     as_exact = matched.withColumn("wildcard", F.lit(False))
     return exact_hits(postings, as_exact, salts).distinct()
 

@@ -33,19 +33,21 @@ def running_totals(
     ``block`` must not decrease along ``order``, and ``order`` must be unique
     within a group. The row itself is not included.
     """
-    by, order = list(by), list(order)
-    rows = df.withColumn("_block", block)
+    # As one struct, group columns may hold nulls: structs compare them as equal.
+    group = F.struct(*by) if by else F.lit(0)
+    rows = df.withColumn("_group", group).withColumn("_block", block)
     for name, value in totals.items():
         rows = rows.withColumn(f"_v_{name}", value)
+    keys = ["_group", "_block"]
 
-    sums = rows.groupBy(*by, "_block").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in totals])
-    earlier_blocks = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in totals])
+    earlier_blocks = Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        *by, "_block", *[F.coalesce(F.sum(f"_s_{n}").over(earlier_blocks), F.lit(0)).alias(f"_o_{n}") for n in totals]
+        *keys, *[F.coalesce(F.sum(f"_s_{n}").over(earlier_blocks), F.lit(0)).alias(f"_o_{n}") for n in totals]
     )
 
-    earlier_rows = Window.partitionBy(*by, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    located = rows.join(offsets, [*by, "_block"])
+    earlier_rows = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    located = rows.join(offsets, keys)
     return located.select(
         *df.columns,
         *[

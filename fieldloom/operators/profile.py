@@ -117,7 +117,8 @@ def sample_stats(samples: DataFrame, by: str, value: str, blocks: int = 1000) ->
         F.max("v").alias("max"),
         (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
     )
-    placed = counts.join(totals, by).withColumn("spread", F.greatest(F.col("max") - F.col("min"), F.lit(1e-300)))
+    same = F.col(by).eqNullSafe(F.col("_by"))
+    placed = counts.join(totals.withColumnRenamed(by, "_by"), same).drop("_by").withColumn("spread", F.greatest(F.col("max") - F.col("min"), F.lit(1e-300)))
     block = F.floor((F.col("v") - F.col("min")) / F.col("spread") * blocks)
     ranked = running_totals(placed, by=[by], order=["v"], totals={"below": F.col("n")}, block=block)
     low, high = F.expr("(samples - 1) div 2"), F.expr("samples div 2")

@@ -417,6 +417,11 @@ SELECT s_suppkey AS query_id, 'customer:' || c_custkey AS doc_id, 'customer' AS
 FROM supplier JOIN customer ON substr(s_name, 10) = substr(c_name, 10)
 UNION ALL SELECT s_suppkey, 'supplier:' || s_suppkey, 'supplier' FROM supplier"""
 
+ORACLE["stream_wildcard_alerts"] = on_base(
+    """SELECT n_nationkey AS query_id, doc_id, source_table, field, term FROM post
+JOIN nation ON term LIKE printf('%07d__', n_nationkey) WHERE field = 'ref' AND source_table IN ('customer', 'supplier')"""
+)
+
 CELL = "CASE WHEN regexp_matches({0}, '[\",\\n]') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE {0} END"
 ORACLE["export_rows"] = on_base(
     f"""SELECT source_table, 0 AS part, 0 AS seq, 'Source: ' || {CELL.format('name')} AS line FROM heads WHERE source_table <> 'supplier'

@@ -18,7 +18,7 @@ from fieldloom.operators.positions import block_of
 from fieldloom.operators.postings import postings
 from fieldloom.operators.records import documents, route, route_sides, shape_names
 from fieldloom.operators.search import matching_ids, resolve
-from fieldloom.session import shared_dir
+from fieldloom.session import shared_dir, written
 from fieldloom.sources import json_folder
 from fieldloom.sources.tables import (
     SOURCE_FIELDS,
@@ -30,7 +30,7 @@ from fieldloom.sources.tables import (
     table,
     table_postings,
 )
-from fieldloom.streaming.alerts import standing_hits
+from fieldloom.streaming.alerts import standing_hits, standing_wildcard_hits
 from fieldloom.streaming.upkeep import append_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,7 +101,8 @@ def search_headers(spark, sf_dir):
 
 @query
 def search_stream(spark, sf_dir):
-    return results.result_stream(found_records(spark, sf_dir, REF_RANGE), source_rows(spark, sf_dir))
+    found = written(found_records(spark, sf_dir, REF_RANGE), "search-stream")
+    return results.result_stream(found, source_rows(spark, sf_dir))
 
 
 @query
@@ -636,19 +637,26 @@ def stream_alerts(spark, sf_dir):
     return _run_stream(spark, standing_hits(arriving, queries, TABLE_CATALOG), "stream-alerts")
 
 
+@query
+def stream_wildcard_alerts(spark, sf_dir):
+    arriving = postings(documents(_record_stream(spark, sf_dir), TABLE_CATALOG), TABLE_CATALOG)
+    queries = wildcard_queries(spark, sf_dir)
+    return _run_stream(spark, standing_wildcard_hits(arriving, queries, TABLE_CATALOG), "stream-wildcards")
+
+
 # -- export -------------------------------------------------------------------
 
 
 @query
 def export_rows(spark, sf_dir):
-    found = found_records(spark, sf_dir, REF_RANGE)
+    found = written(found_records(spark, sf_dir, REF_RANGE), "export")
     headers = results.result_headers(found, source_rows(spark, sf_dir)).where("source_table <> 'supplier'")
     return export.csv_lines(found, headers)
 
 
 @query
 def export_text(spark, sf_dir):
-    found = found_records(spark, sf_dir, REF_RANGE)
+    found = written(found_records(spark, sf_dir, REF_RANGE), "export")
     headers = results.result_headers(found, source_rows(spark, sf_dir))
     return export.text_lines(found, headers)
 

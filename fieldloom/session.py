@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Largest row count a query may broadcast by explicit hint. Callers must have
 #: counted (or bounded) the side before they use it.
@@ -47,6 +47,17 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/fieldloom/{purpose}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The same rows as a table in shared storage.
+
+    For a result several outputs are made from: it is computed once, and a lost
+    executor costs a re-read, not a re-run.
+    """
+    folder = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 @functools.cache
 def _local_root() -> str:
     return tempfile.mkdtemp(prefix="fieldloom-")

@@ -17,6 +17,7 @@ from fieldloom.catalog import Catalog
 from fieldloom.operators import batch, manifest, naming, profile, results, search, sources
 from fieldloom.operators.postings import postings
 from fieldloom.operators.records import documents as make_documents
+from fieldloom.session import written
 from fieldloom.sources import json_folder, sinks
 from fieldloom.streaming.upkeep import DOCUMENT_SCHEMA, index_new_files
 
@@ -201,7 +202,8 @@ class RecordStore:
 
     def search_chunks(self, query: Mapping[str, str | None], chunk_items: int = results.CHUNK_ITEMS) -> Iterator[list[Row]]:
         """Headers and records in order, a chunk at a time."""
-        return results.iterate_chunks(results.result_stream(self.search(query), self.sources, chunk_items))
+        found = written(self.search(query), "results")
+        return results.iterate_chunks(results.result_stream(found, self.sources, chunk_items))
 
     def batch_search(self, queries: DataFrame) -> DataFrame:
         """Hits of a table of queries ``query_id, field, value``."""

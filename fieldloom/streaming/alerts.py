@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.catalog import Catalog
-from fieldloom.operators.batch import query_terms
+from fieldloom.operators.batch import matched_terms, query_terms
 
 
 def standing_hits(arriving: DataFrame, queries: DataFrame, catalog: Catalog) -> DataFrame:
@@ -16,3 +16,15 @@ def standing_hits(arriving: DataFrame, queries: DataFrame, catalog: Catalog) ->
     """
     wanted = query_terms(queries, catalog).where(~F.col("wildcard")).select("query_id", "field", "term")
     return arriving.join(wanted, ["field", "term"]).select("query_id", "doc_id", "source_table")
+
+
+def standing_wildcard_hits(arriving: DataFrame, queries: DataFrame, catalog: Catalog) -> DataFrame:
+    """Hits of standing wildcard queries, one row per matching term.
+
+    Patterns meet postings by equal literal prefixes, as in a batch search. A
+    document whose terms match twice is reported with both terms, so no state
+    is needed to tell repeats apart.
+    """
+    patterns = query_terms(queries, catalog).where("wildcard")
+    hits = matched_terms(patterns, arriving, keep=("doc_id", "source_table"))
+    return hits.select("query_id", "doc_id", "source_table", "field", "term")
