@@ -30,7 +30,10 @@ KEY_LENGTHS = (8, 4, 2, 1, 0)
 def query_terms(queries: DataFrame, catalog: Catalog) -> DataFrame:
     """Add ``term, wildcard``; rows without a usable term are dropped."""
     known = queries.where(F.col("field").isin(*[spec.name for spec in catalog.indexed]))
-    termed = known.withColumn("term", by_field(catalog, F.col("field"), lambda s: query_term(s, F.col("value"))))
+    term = by_field(catalog, F.col("field"), lambda s: query_term(s, F.col("value")))
+    # As output of a generator the term is computed once: filters on it, also
+    # those Spark infers from joins, are not rewritten in terms of the value.
+    termed = known.select("*", F.explode_outer(F.array(term)).alias("term"))
     return termed.where(F.col("term").isNotNull()).withColumn("wildcard", has_wildcard(F.col("term")))
 
 
@@ -48,6 +51,15 @@ def exact_hits(postings: DataFrame, terms: DataFrame, salts: int = SALTS) -> Dat
     return salted.join(wanted, ["field", "term", "salt"]).select("query_id", "doc_id", "source_table")
 
 
+def of_fields(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings of the fields some query asks for.
+
+    There are no more field names than the catalogue has, so they are broadcast;
+    over a stored index this prunes the partitions of all other fields.
+    """
+    return postings.join(F.broadcast(terms.select("field").distinct()), "field", "left_semi")
+
+
 def vocabulary(postings: DataFrame) -> DataFrame:
     """The distinct terms per field; counting combines on the map side."""
     return postings.select("field", "term").distinct()
@@ -71,7 +83,7 @@ def matched_terms(terms: DataFrame, words: DataFrame, keep: tuple[str, ...] = ()
     )
     size = F.get(F.filter(lengths, lambda n: n <= F.length("prefix")), F.lit(0))
     patterns = patterns.select(
-        "query_id", "field", "pattern", "regex", size.alias("size"), F.substring(F.col("prefix"), F.lit(1), size).alias("key"), spread
+        "query_id", "field", "pattern", "regex", "prefix", size.alias("size"), F.substring(F.col("prefix"), F.lit(1), size).alias("key"), spread
     )
     keyed = words.select(
         "field",
@@ -81,12 +93,14 @@ def matched_terms(terms: DataFrame, words: DataFrame, keep: tuple[str, ...] = ()
         F.explode(F.filter(lengths, lambda n: n <= F.length("term"))).alias("size"),
     ).withColumn("key", F.substring(F.col("term"), F.lit(1), F.col("size")))
     pairs = keyed.join(patterns, ["field", "size", "key", "salt"])
+    # The whole prefix is compared before a pattern is compiled.
+    pairs = pairs.where(F.startswith(F.col("term"), F.col("prefix")))
     return pairs.where(wildcard_match(F.col("term"), F.col("pattern"), F.col("regex"))).select("query_id", "field", "term", *keep)
 
 
 def wildcard_hits(postings: DataFrame, terms: DataFrame, salts: int = SALTS) -> DataFrame:
     """Hits of wildcard terms. A document is reported once per query."""
-    matched = matched_terms(terms, vocabulary(postings), salts=salts)
+    matched = matched_terms(terms, vocabulary(of_fields(postings, terms.where("wildcard"))), salts=salts)
     as_exact = matched.withColumn("wildcard", F.lit(False))
     return exact_hits(postings, as_exact, salts).distinct()
 
