@@ -180,9 +180,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = SHINGL
     marks = ["mark", "mark2", "n_shingles"]
     linkable = sketches.filter("n_shingles > 0 and doc_id is not null")
     classes = linkable.groupBy(*marks).agg(F.min("doc_id").alias("first_id"))
-    unique = (
-        linkable.join(classes, marks).filter("doc_id = first_id").select("doc_id", F.explode("bands").alias("band"))
-    )
+    first = classes.select(F.col("first_id").alias("doc_id"))
+    unique = linkable.join(first, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("band"))
     places = written(unique.distinct(), "places")
 
     shared = places.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
@@ -194,7 +193,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = SHINGL
     pairs = members.join(hubs, "band").filter("doc_id != hub").select(*_pair("doc_id", "hub"))
     pairs = written(pairs.distinct(), "pairs")
 
-    used = members.select("doc_id").distinct()
+    # The ids grow with the table, so they are never broadcast, whatever their number.
+    used = members.select("doc_id").distinct().hint("merge")
     sets = texts.join(used, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>")
     # Two texts of one id: the links of the id are those of its larger set.
     sets = written(sets, "sets")
