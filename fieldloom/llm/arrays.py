@@ -68,13 +68,21 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of some texts: byte ranges, hashes, and the text of each word."""
+    """The words of some texts: byte ranges, hashes, and the text of each word.
 
-    def __init__(self, column: pa.Array):
+    With ``letters``, a word is a run of ASCII letters, digits and bytes from 128 on.
+    ``prefixes`` are byte lengths; the beginnings of words get hashes as well.
+    """
+
+    def __init__(self, column: pa.Array, letters: bool = False, prefixes: tuple[int, ...] = ()):
         self.raw, self.offsets = text_bytes(column)
         raw = self.raw
         self.lower = np.where((raw >= 65) & (raw <= 90), raw | 32, raw).astype(np.uint8)
-        inside = (raw != 32) & ((raw < 9) | (raw > 13))
+        if letters:
+            low = self.lower
+            inside = ((low >= 97) & (low <= 122)) | ((low >= 48) & (low <= 57)) | (low >= 128)
+        else:
+            inside = (raw != 32) & ((raw < 9) | (raw > 13))
         before, after = np.zeros_like(inside), np.zeros_like(inside)
         before[1:], after[:-1] = inside[:-1], inside[1:]
         cuts = self.offsets[(self.offsets > 0) & (self.offsets < len(raw))]
@@ -86,20 +94,24 @@ class Words:
         self.counts = np.bincount(self.text_of, minlength=len(self.offsets) - 1)
         #: The first word of each text.
         self.first = np.concatenate(([0], np.cumsum(self.counts)))
-        self.hashes = self._hashed(self.lower)
+        self.hashes, *self.prefixes = self._hashed(prefixes)
 
-    def _hashed(self, data: np.ndarray) -> np.ndarray:
-        out = np.empty(len(self.starts), np.uint64)
+    def _hashed(self, prefixes: tuple[int, ...]) -> list[np.ndarray]:
+        """Hashes of the words, and of their first bytes."""
+        out = [np.empty(len(self.starts), np.uint64) for _ in range(1 + len(prefixes))]
         i = 0
-        while i < len(out):
+        while i < len(self.starts):
             begin = self.starts[i]
             j = max(i + 1, int(np.searchsorted(self.ends, begin + HASH_BYTES, "right")))
             stop = self.ends[j - 1]
             powers, inverse = _powers(1 << int(stop - begin).bit_length())
             sums = np.zeros(stop - begin + 1, np.uint64)
-            np.cumsum((data[begin:stop].astype(np.uint64) + np.uint64(1)) * powers[: stop - begin], out=sums[1:])
+            each = self.lower[begin:stop].astype(np.uint64) + np.uint64(1)
+            np.cumsum(each * powers[: stop - begin], out=sums[1:])
             a, b = self.starts[i:j] - begin, self.ends[i:j] - begin
-            out[i:j] = mixed((sums[b] - sums[a]) * inverse[a])
+            for row, length in zip(out, (None, *prefixes), strict=True):
+                until = b if length is None else np.minimum(b, a + length)
+                row[i:j] = mixed((sums[until] - sums[a]) * inverse[a])
             i = j
         return out
 
