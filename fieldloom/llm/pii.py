@@ -39,8 +39,6 @@ FIT_TEXTS = 600
 #: Training windows at most; of more, every so-manieth in text order.
 FIT_WINDOWS = 4_000
 STEPS = 260
-#: Digits a tagged span must hold, and whether it needs the sign of a mail address.
-LEAST_DIGITS = {"email": 0, "ip": 4, "card": 12, "phone": 7}
 
 Span = tuple[int, int, str]
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -206,6 +204,19 @@ def _merged(scores: np.ndarray, starts: list[int], length: int) -> list[tuple[in
     return runs
 
 
+def _plausible(span: str, kind: str) -> bool:
+    """Whether a tagged span passes its kind's checks, however it is written."""
+    parts = re.findall(r"[0-9]+", span)
+    digits = "".join(parts)
+    if kind == "email":
+        return bool(re.search(r"@|[(\[]at[)\]]", span)) and "." in span
+    if kind == "ip":
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    if kind == "card":
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    return 7 <= len(digits) <= 15
+
+
 def _spans_of(path: np.ndarray, begin: int, text: str) -> Iterator[Span]:
     i = 0
     while i < len(path):
@@ -220,9 +231,7 @@ def _spans_of(path: np.ndarray, begin: int, text: str) -> Iterator[Span]:
         trimmed = span.strip(" \t\r\n.,;:")
         start = begin + i + len(span) - len(span.lstrip(" \t\r\n.,;:"))
         name = KINDS[kind]
-        digits = sum("0" <= c <= "9" for c in trimmed)
-        address = name != "email" or (bool(re.search(r"@|[(\[]at[)\]]", trimmed)) and "." in trimmed)
-        if trimmed and digits >= LEAST_DIGITS[name] and address:
+        if _plausible(trimmed, name):
             yield start, start + len(trimmed), name
         i = j
 
@@ -303,6 +312,10 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def personal_data(docs: DataFrame, model: PiiModel) -> DataFrame:
     """Per row ``doc_id, base, added``: arrays of (kind, start, end).
 
@@ -328,8 +341,6 @@ def digest(found: DataFrame) -> DataFrame:
         ),
         lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
     )
-    counts = [
-        F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in KINDS
-    ]
+    counts = [_count(F.col("base"), kind).alias(f"n_{kind}") for kind in KINDS]
     base = F.sha2(_joined(F.col("base")).cast("binary"), 256)
     return found.select("doc_id", *counts, base.alias("base_sha256"), _joined(every).alias("spans"))
