@@ -35,3 +35,24 @@ SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(l.component, s.doc_id) AS comp
     coalesce(l.component, s.doc_id) = s.doc_id AS kept
 FROM sets s LEFT JOIN least l ON l.node = s.doc_id
 """
+
+#: Turns from the first one that holds the end mark are escaped; each escape adds a character.
+ORACLE["op3_chat_format"] = r"""
+WITH given AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+turns AS (
+    SELECT *, row_number() OVER w AS place,
+        max(CASE WHEN contains(text, '</s>') THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) = 1 AS escaped
+    FROM given WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(11 + length(role) + length(text) + CASE WHEN escaped
+        THEN length(text) - length(translate(text, '<[\', '')) ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
