@@ -56,3 +56,21 @@ SELECT conv_id, count(*) AS n_turns,
         THEN length(text) - length(translate(text, '<[\', '')) ELSE 0 END) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+ORACLE["op9_top_k"] = r"""
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+    FROM whole a JOIN whole b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
+),
+ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+    FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
