@@ -13,6 +13,7 @@ from fieldloom.llm import (
     decontamination,
     near_duplicates,
     packing,
+    passages,
     pii,
     quality,
     token_counts,
@@ -69,6 +70,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fit_quality(docs, labels))
 
 
+@query
+def op6_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
