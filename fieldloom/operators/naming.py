@@ -16,9 +16,14 @@ SHEET_STEM = 24
 
 
 def base_source_name(file_name: Column) -> Column:
-    """A table name from a file name: no extension, safe characters only."""
+    """A table name from a file name: no extension, safe characters only.
+
+    A name of which nothing is left stops the job.
+    """
     stem = strip(F.regexp_replace(file_name, r"(?<=.)\.[^.]*\z", ""))
-    return F.substring(F.regexp_replace(stem, "[^A-Za-z0-9_.-]+", "_"), 1, NAME_LENGTH)
+    name = F.substring(F.regexp_replace(stem, "[^A-Za-z0-9_.-]+", "_"), 1, NAME_LENGTH)
+    refused = F.raise_error(F.concat(F.lit("no source name can be made from the file name "), file_name))
+    return F.when(name == "", refused.cast("string")).otherwise(name)
 
 
 def unique_source_names(files: DataFrame, existing: DataFrame, order: list[str], block: Column) -> DataFrame:

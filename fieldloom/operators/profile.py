@@ -103,23 +103,25 @@ def duplicate_ids(documents: DataFrame) -> DataFrame:
     return counted.where("copies > 1")
 
 
-def sample_stats(samples: DataFrame, by: str, value: str, blocks: int = 1000) -> DataFrame:
+def sample_stats(samples: DataFrame, by: str, value: str, blocks: int = 64) -> DataFrame:
     """Count, minimum, maximum, mean and exact median of ``value`` per group.
 
-    Samples are combined per distinct value; the median is the mean of the
-    values at the two middle ranks, found by running totals over blocks of the
-    value range. No task or buffer holds a whole group.
+    Null values are no samples; a group without any has no row. Samples are
+    combined per distinct value; the median is the mean of the values at the two
+    middle ranks, found by running totals over blocks between approximate
+    quantiles of the distinct values, so an outlier does not empty the blocks.
     """
-    counts = samples.groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    counts = samples.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
     totals = counts.groupBy(by).agg(
         F.sum("n").alias("samples"),
         F.min("v").alias("min"),
         F.max("v").alias("max"),
         (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
+        F.percentile_approx("v", [i / blocks for i in range(1, blocks)]).alias("cuts"),
     )
     same = F.col(by).eqNullSafe(F.col("_by"))
-    placed = counts.join(totals.withColumnRenamed(by, "_by"), same).drop("_by").withColumn("spread", F.greatest(F.col("max") - F.col("min"), F.lit(1e-300)))
-    block = F.floor((F.col("v") - F.col("min")) / F.col("spread") * blocks)
+    placed = counts.join(totals.withColumnRenamed(by, "_by"), same).drop("_by")
+    block = F.size(F.filter("cuts", lambda cut: cut < F.col("v")))
     ranked = running_totals(placed, by=[by], order=["v"], totals={"below": F.col("n")}, block=block)
     low, high = F.expr("(samples - 1) div 2"), F.expr("samples div 2")
     middle = ranked.where((F.col("below") <= high) & (F.col("below") + F.col("n") > low))

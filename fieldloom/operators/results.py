@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -27,15 +29,20 @@ def fetch(documents: DataFrame, ids: DataFrame) -> DataFrame:
 def first_of_each(documents: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """The first stored document per id, optionally for some ids only.
 
-    The first is decided on three narrow columns. Full rows are then picked by
-    (id, source, number), a key that also spreads many copies of one id.
+    The first has the smallest number, of equal numbers the earliest import.
+    That is decided on narrow columns. Full rows are then picked by (id, source,
+    number, time), a key that also spreads many copies of one id; of copies that
+    agree in all of these one stays.
     """
     keys = ["doc_id", "source_table"]
-    narrow = documents.select(*keys, "seq")
+    order = ["seq", *[c for c in ("imported_at",) if c in documents.columns]]
+    narrow = documents.select(*keys, *order)
     if ids is not None:
         narrow = narrow.join(ids.select(*keys), keys, "left_semi")
-    firsts = narrow.groupBy(*keys).agg(F.min("seq").alias("seq"))
-    return documents.join(firsts, [*keys, "seq"], "left_semi")
+    firsts = narrow.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
+    firsts = firsts.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(f"_first.{c}").alias(f"_{c}") for c in order])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, *order)])
+    return documents.join(firsts, same, "left_semi").dropDuplicates([*keys, *order])
 
 
 def result_records(documents: DataFrame) -> DataFrame:

@@ -25,7 +25,6 @@ from fieldloom.functions.fields import (
     wildcard_regex,
 )
 from fieldloom.functions.shards import shard_name
-from fieldloom.session import BROADCAST_ROW_LIMIT
 
 
 @dataclass(frozen=True)
@@ -45,11 +44,11 @@ def resolve(spark: SparkSession, query: Mapping[str, str | None], catalog: Catal
     """Bring a query to index form.
 
     Unknown and empty fields are dropped, and so is a value of which nothing
-    remains: the search widens. With ``strict`` such a value empties the result
-    instead. The values of one query are all the driver ever handles here.
+    remains: the search widens. With ``strict`` such a field or value empties the
+    result instead. The values of one query are all the driver ever handles here.
     """
     asked = {name: str(value) for name, value in query.items() if name in catalog and catalog[name].indexed and value}
-    if not asked:
+    if not asked or (strict and len(asked) < len(query)):
         return []
     columns = []
     for name, value in asked.items():
@@ -101,9 +100,9 @@ def matching_ids(
 ) -> DataFrame:
     """Ids of the documents that satisfy every term: ``doc_id, source_table``.
 
-    With shard counts at hand, the narrowest exact term goes first. Its shard
-    count bounds its matches, so when that is small its ids are broadcast and
-    the other terms' postings are cut down before they are shuffled.
+    With shard counts at hand, the narrowest exact term goes first: the other
+    terms' postings are cut down to its documents. Spark decides by measured
+    sizes how that join is done.
     """
     keys = ["doc_id", "source_table"]
     if not terms:
@@ -116,7 +115,7 @@ def matching_ids(
     candidates = postings.where(reduce(or_, filters))
     if narrow is not None:
         first = postings.where(filters[narrow]).select("doc_id")
-        candidates = candidates.join(F.broadcast(first), "doc_id", "left_semi")
+        candidates = candidates.join(first, "doc_id", "left_semi")
     bit = F.lit(0)
     for i, condition in enumerate(filters):
         bit = bit.bitwiseOR(F.when(condition, F.lit(1 << i)).otherwise(F.lit(0)))
@@ -125,15 +124,14 @@ def matching_ids(
 
 
 def _narrowest(terms: list[Term], shard_stats: DataFrame) -> int | None:
-    """The exact term with the smallest shard, if that shard is broadcastable."""
+    """The exact term with the smallest shard; shards without a count come last."""
     exact = [(i, t) for i, t in enumerate(terms) if not t.wildcard]
     if not exact:
         return None
     wanted = reduce(or_, [(F.col("field") == t.field) & (F.col("shard") == t.shard) for _, t in exact])
     counts = {(r["field"], r["shard"]): r["n"] for r in shard_stats.where(wanted).collect()}
-    bounds = [(counts.get((t.field, t.shard), 0), i) for i, t in exact]
-    bound, index = min(bounds)
-    return index if bound <= BROADCAST_ROW_LIMIT else None
+    known = [(counts[t.field, t.shard], i) for i, t in exact if (t.field, t.shard) in counts]
+    return min(known)[1] if known else None
 
 
 def search(

@@ -129,11 +129,12 @@ def catalog_totals(rows: DataFrame) -> DataFrame:
 
 
 def catalog_types(rows: DataFrame) -> DataFrame:
-    return rows.select(source_type().alias("type")).distinct()
+    """The distinct types in order."""
+    return rows.select(source_type().alias("type")).distinct().orderBy("type")
 
 
 def timeline_rows(rows: DataFrame, epoch: str | None = None) -> DataFrame:
-    """Dated catalogue rows, newest first when sorted by ``moment``.
+    """Dated catalogue rows, newest first, then by name.
 
     The date is the first filled of the update, creation and import columns;
     rows whose date cannot be read are left out. ``epoch`` names an optional
@@ -154,7 +155,7 @@ def timeline_rows(rows: DataFrame, epoch: str | None = None) -> DataFrame:
         F.coalesce(null_if_empty(F.col("type")), F.lit(DEFAULT_TYPE)).alias("type"),
         grouped_count(leading_int(F.col("count"))).alias("count"),
         leading_int(F.col("count")).alias("records"),
-    )
+    ).orderBy(F.desc("moment"), "name")
 
 
 def timeline_months(dated: DataFrame) -> DataFrame:

@@ -325,7 +325,7 @@ WITH {LINES} SELECT source_table || ':' || row_id AS doc_id, source_table, row_i
 ORACLE["json_fields"] = """
 SELECT event_id, array_to_string(json_keys(props), ',') AS keys, json_extract_string(props, '$.k') AS k,
   list_contains(json_keys(props), 'k') AS has_k, '{"k":"' || json_extract_string(props, '$.k') || '"}' AS props FROM events"""
-ORACLE["ingest_scan"] = "SELECT c_custkey::VARCHAR AS id, c_name AS ref, c_mktsegment AS segment FROM customer"
+ORACLE["ingest_scan"] = "SELECT c_custkey::VARCHAR AS id, c_name AS ref, c_mktsegment AS segment, c_nationkey::VARCHAR AS nation FROM customer"
 ORACLE["ingest_jsonl"] = ORACLE["ingest_scan"]
 
 ORACLE["byte_offsets"] = """

@@ -8,10 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Largest row count a query may broadcast by explicit hint. Callers must have
-#: counted (or bounded) the side before they use it.
-BROADCAST_ROW_LIMIT = 200_000
-
 
 def build_session(app: str = "fieldloom", cores: int | str = "*", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks. Clusters bring their own."""

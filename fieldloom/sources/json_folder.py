@@ -1,9 +1,9 @@
 """JSON folders in any of four layouts to raw records.
 
 A file holds an array of objects, one object, one object per line, or objects
-one after another. Files are read whole, so they are limited in size; larger
-ones are reported, and line-oriented files of any size go through
-:func:`read_json_lines`, which splits them.
+one after another. Files are read whole; line-oriented files of any size go
+through :func:`read_json_lines`, which splits them. A caller may set limits on
+the number and size of files; by default there are none.
 """
 
 from __future__ import annotations
@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 from fieldloom.functions.blanks import BLANK_CLASS, strip
 from fieldloom.operators.positions import running_totals
 
-MAX_FILES = 1000
-MAX_FILE_BYTES = 50 * 1024 * 1024
 JSON_GLOB = "*.[jJ][sS][oO][nN]"
 RECORDS = "array<map<string,string>>"
+CLOSED = f"array<{RECORDS}>"
 
 
 def list_files(spark: SparkSession, folder: str, glob: str = JSON_GLOB) -> DataFrame:
@@ -31,7 +30,7 @@ def list_files(spark: SparkSession, folder: str, glob: str = JSON_GLOB) -> DataF
     )
 
 
-def check_limits(files: DataFrame, max_files: int | None = MAX_FILES, max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
+def check_limits(files: DataFrame, max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """Files that break a limit, with the reason. Empty means go ahead."""
     reason = F.lit(None).cast("string")
     if max_bytes is not None:
@@ -53,6 +52,19 @@ def read_whole_files(spark: SparkSession, folder: str, glob: str = JSON_GLOB) ->
     )
 
 
+def _whole(array: Column) -> Column:
+    """The records of a text that is one JSON array and nothing else, or null.
+
+    Spark's parser stops after the first root value. So the text is followed by
+    an element with its own digest, which no text can hold, and both must be
+    there: then nothing closed the array early and nothing came after it.
+    """
+    seal = F.md5(array.cast("binary"))
+    parsed = F.from_json(F.concat(F.lit("["), array, F.lit(',[{"seal":"'), seal, F.lit('"}]]')), CLOSED)
+    sealed = (F.size(parsed) == 2) & F.coalesce(F.get(F.get(parsed, 1), 0)["seal"] == seal, F.lit(False))
+    return F.when(sealed, F.get(parsed, 0))
+
+
 def parse_records(content: Column) -> Column:
     """The records of a file's text, null when it cannot be read.
 
@@ -62,8 +74,7 @@ def parse_records(content: Column) -> Column:
     text = strip(content)
     enclosed = F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
     separated = F.concat(F.lit("["), F.regexp_replace(text, r"\}" + BLANK_CLASS + r"*\{", "},{"), F.lit("]"))
-    plain = F.from_json(enclosed, RECORDS)
-    return F.when(text == "", F.array().cast(RECORDS)).otherwise(F.coalesce(plain, F.from_json(separated, RECORDS)))
+    return F.when(text == "", F.array().cast(RECORDS)).otherwise(F.coalesce(_whole(enclosed), _whole(separated)))
 
 
 def last_entry_wins(raw: Column) -> Column:
@@ -109,9 +120,11 @@ def read_json_lines(spark: SparkSession, folder: str, glob: str = "*", quarantin
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("place"),
-        F.from_json(F.concat(F.lit("["), "value", F.lit("]")), RECORDS)[0].alias("raw"),
+        _whole(F.concat(F.lit("["), "value", F.lit("]"))).alias("records"),
         F.col("value").alias("line"),
     )
+    one = F.when(F.size("records") == 1, F.get("records", 0))
+    parsed = parsed.select("file_name", "start", "place", one.alias("raw"), "line")
     numbered = running_totals(
         parsed, by=["file_name"], order=["start", "place"], totals={"earlier": F.lit(1)}, block=F.col("start")
     )

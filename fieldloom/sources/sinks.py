@@ -19,6 +19,18 @@ def write_documents(documents: DataFrame, path: str, mode: str = "append", rows_
     )
 
 
+def replace_sources(documents: DataFrame, path: str) -> None:
+    """Documents by source; a source that is already there is replaced, others stay."""
+    (
+        documents.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("source_table")
+        .option("maxRecordsPerFile", ROWS_PER_FILE)
+        .option("parquet.bloom.filter.enabled#doc_id", "true")
+        .parquet(path)
+    )
+
+
 def write_postings(postings: DataFrame, path: str, mode: str = "append") -> None:
     """Postings by field, gathered by shard and sorted by term.
 

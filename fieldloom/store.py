@@ -1,8 +1,11 @@
 """A record store on shared storage: import, index, search.
 
-Tables under one root: ``documents`` (by source), ``postings`` (by field, one
-version per full build), ``sources``, ``manifests`` and ``runs``. Each write is
-a new folder or a committed append; nothing is changed in place.
+Tables under one root: ``documents`` (by source), ``sources``, and the index:
+``postings`` (by field, one version per full build), ``shard_stats``,
+``manifests`` and ``runs``. An index run writes its postings, counts and manifest
+under its own number and publishes them with one last write, its row in ``runs``.
+Readers see only what a row of ``runs`` names, so a run that was lost half-way
+leaves nothing behind that is ever read, and the next run writes its parts again.
 """
 
 from __future__ import annotations
@@ -21,8 +24,6 @@ from fieldloom.session import written
 from fieldloom.sources import json_folder, sinks
 from fieldloom.streaming.upkeep import DOCUMENT_SCHEMA, index_new_files
 
-POINT_LOOKUPS = 500
-
 SOURCE_SCHEMA = (
     "source_table string, file_name string, name string, description string, type string, "
     "documents_imported bigint, imported_at timestamp"
@@ -30,7 +31,11 @@ SOURCE_SCHEMA = (
 MANIFEST_SCHEMA = "file_name string, size bigint, mtime timestamp"
 POSTING_SCHEMA = "shard string, term string, doc_id string, source_table string, row_id string, field string"
 STATS_SCHEMA = "field string, shard string, n bigint"
-RUN_SCHEMA = "run bigint, mode string, version bigint, files_new bigint, files_reused bigint, entries bigint"
+RUN_SCHEMA = (
+    "run bigint, mode string, version bigint, state bigint, files_new bigint, files_reused bigint, "
+    "documents bigint, entries bigint"
+)
+IMPORT_SCHEMA = "source_table string"
 
 
 class RecordStore:
@@ -74,13 +79,24 @@ class RecordStore:
 
     @property
     def postings(self) -> DataFrame:
-        last = self._last_run()
-        version = 0 if last is None else last["version"]
-        return self._table(f"postings/v={version}", POSTING_SCHEMA)
+        return self._published(self._last_run())
 
     @property
     def shard_stats(self) -> DataFrame:
-        return self._latest("shard_stats", STATS_SCHEMA)[0]
+        return self._state("shard_stats", STATS_SCHEMA, self._last_run())
+
+    def _published(self, run: Row | None, staged: int = -1) -> DataFrame:
+        """Postings of the published runs of a version, and of one staged run."""
+        if run is None:
+            return self.spark.createDataFrame([], POSTING_SCHEMA)
+        stored = self._table(f"postings/v={run['version']}", f"{POSTING_SCHEMA}, run bigint")
+        return stored.where((F.col("run") <= run["run"]) | (F.col("run") == staged)).drop("run")
+
+    def _state(self, name: str, schema: str, run: Row | None) -> DataFrame:
+        """The counts or the manifest that a run's row names."""
+        if run is None:
+            return self.spark.createDataFrame([], schema)
+        return self._table(f"{name}/run={run['state']}", schema)
 
     # -- import -----------------------------------------------------------
 
@@ -91,12 +107,15 @@ class RecordStore:
         default_name: str = "",
         default_description: str = "",
         default_type: str = "",
-        max_files: int | None = json_folder.MAX_FILES,
-        max_bytes: int | None = json_folder.MAX_FILE_BYTES,
+        max_files: int | None = None,
+        max_bytes: int | None = None,
     ) -> DataFrame:
         """Import a folder of JSON files; returns the new source rows.
 
-        Files over a limit stop the import before anything is written.
+        Files over a caller's limit stop the import before anything is written.
+        The names taken are noted first and the source rows written last. So an
+        import that was lost half-way can be repeated: it takes the same names,
+        and its documents replace what the lost one left under them.
         """
         files = json_folder.list_files(self.spark, folder)
         refused = json_folder.check_limits(files, max_files, max_bytes).first()
@@ -104,11 +123,15 @@ class RecordStore:
             raise ValueError(f"{refused['file_name']}: {refused['reason']}")
         current, version = self._latest("sources", SOURCE_SCHEMA)
 
-        named = naming.unique_source_names(
-            files.select("file_name"), current.select("source_table"), ["file_name"], F.ascii("file_name")
-        )
-        records = json_folder.read_records(self.spark, folder).join(named, "file_name")
-        sinks.write_documents(make_documents(records, self.catalog), f"{self.root}/documents")
+        unfinished = self._table("imports", IMPORT_SCHEMA).join(current, "source_table", "left_anti")
+        appended = self.documents.select("source_table").distinct().join(unfinished, "source_table", "left_anti")
+        taken = current.select("source_table").union(appended)
+        named = naming.unique_source_names(files.select("file_name"), taken, ["file_name"], F.ascii("file_name"))
+        named = written(named, "names")
+        named.select("source_table").write.mode("append").parquet(f"{self.root}/imports")
+        whole = json_folder.read_whole_files(self.spark, folder).join(named, "file_name")
+        records = json_folder.records_of(whole, ["file_name", "source_table"])
+        sinks.replace_sources(make_documents(records, self.catalog), f"{self.root}/documents")
 
         stored = self.documents.join(named.select("source_table"), "source_table", "left_semi")
         counts = stored.groupBy("source_table").agg(
@@ -136,42 +159,70 @@ class RecordStore:
             F.col("path").alias("file_name"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")
         )
 
-    def build_index(self) -> Row:
-        """Bring the index up to date; returns the run's row.
+    def _documents_of(self, files: DataFrame) -> DataFrame:
+        """The documents in the given files, whatever else has arrived since."""
+        path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        stored = self.documents.withColumn("_file", path)
+        return stored.join(files.select(F.col("file_name").alias("_file")), "_file", "left_semi").drop("_file")
 
-        A changed or removed file asks for a full build, which goes to a new
-        version while the old one stays searchable. New files alone are indexed
-        and added. Each run writes to a folder of its own: a run that was lost
-        half-way is simply written again.
+    def stage_index(self) -> tuple[Row, DataFrame]:
+        """Write the parts of the next run; returns its row and the listing it was made from.
+
+        The folder is listed once. That listing is compared, read and kept as the
+        manifest, so a file that arrives meanwhile is new to the next run.
         """
-        previous, version = self._latest("manifests", MANIFEST_SCHEMA)
-        diff = manifest.manifest_diff(previous, self.document_files())
-        plan = manifest.build_mode(diff).first()
         last = self._last_run()
+        listed = written(self.document_files(), "listing")
+        diff = written(manifest.manifest_diff(self._state("manifests", MANIFEST_SCHEMA, last), listed), "listing-diff")
+        plan = manifest.build_mode(diff).first()
         run = 0 if last is None else last["run"] + 1
-        target = 0 if last is None else last["version"]
+        version = 0 if last is None else last["version"]
         if plan["mode"] == "full" and last is not None:
-            target += 1
-
-        if plan["mode"] != "noop":
-            found = self.documents
-            if plan["mode"] == "incremental":
-                # File names only, and of new files only: Spark's own file
-                # listing holds as much on the driver.
-                names = [r["file_name"] for r in diff.where("state = 'new'").select("file_name").collect()]
-                reader = self.spark.read.schema(DOCUMENT_SCHEMA).option("basePath", f"{self.root}/documents")
-                found = reader.parquet(*names)
-            listed = self.document_files()
-            sinks.write_postings(postings(found, self.catalog), f"{self.root}/postings/v={target}/run={run}", mode="overwrite")
-            stored = self._table(f"postings/v={target}", POSTING_SCHEMA)
-            _, stats_version = self._latest("shard_stats", STATS_SCHEMA)
-            profile.shard_stats(stored).write.parquet(f"{self.root}/shard_stats/v={stats_version + 1}")
-            listed.write.parquet(f"{self.root}/manifests/v={version + 1}")
-        entries = self.shard_stats.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        row = (run, plan["mode"], target, plan["new"], plan["unchanged"], entries)
+            version += 1
+        if plan["mode"] == "noop":
+            documents, entries = (0, 0) if last is None else (last["documents"], last["entries"])
+            row = (run, "noop", version, -1 if last is None else last["state"], 0, plan["unchanged"], documents, entries)
+            return self.spark.createDataFrame([row], RUN_SCHEMA).first(), listed
+
+        wanted = diff.where("state = 'new'" if plan["mode"] == "incremental" else "state <> 'removed'")
+        found = self._documents_of(wanted)
+        sinks.write_postings(postings(found, self.catalog), f"{self.root}/postings/v={version}/run={run}", mode="overwrite")
+        before = last if plan["mode"] == "incremental" else Row(run=-1, version=version)
+        stats = profile.shard_stats(self._published(before, staged=run))
+        stats.write.mode("overwrite").parquet(f"{self.root}/shard_stats/run={run}")
+        listed.write.mode("overwrite").parquet(f"{self.root}/manifests/run={run}")
+        entries = self._table(f"shard_stats/run={run}", STATS_SCHEMA).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        documents = found.count() + (last["documents"] if plan["mode"] == "incremental" else 0)
+        reused = plan["unchanged"] if plan["mode"] == "incremental" else 0
+        indexed = wanted.count()
+        row = (run, plan["mode"], version, run, indexed, reused, documents, entries)
+        return self.spark.createDataFrame([row], RUN_SCHEMA).first(), listed
+
+    def publish(self, row: Row, listed: DataFrame) -> Row:
+        """Make a staged run the one that readers see.
+
+        Refused when a file it was made from has changed or gone since, or when
+        another run was published meanwhile. New files do not matter here.
+        """
+        last = self._last_run()
+        if (-1 if last is None else last["run"]) != row["run"] - 1:
+            raise RuntimeError("another run was published since this one was staged")
+        now = self.document_files().join(listed.select("file_name"), "file_name", "left_semi")
+        allowed = manifest.may_promote(listed, now, listed.select("file_name")).first()
+        if not allowed["allowed"]:
+            raise RuntimeError(f"{allowed['moved']} files changed since the run was staged")
         done = self.spark.createDataFrame([row], RUN_SCHEMA)
-        done.write.mode("append").parquet(f"{self.root}/runs")
-        return done.first()
+        done.coalesce(1).write.mode("append").parquet(f"{self.root}/runs")
+        return row
+
+    def build_index(self) -> Row:
+        """Bring the index up to date; returns the run's row.
+
+        A changed or removed file asks for a full build, which goes to a new
+        version while the old one stays searchable. New files alone are indexed
+        and added.
+        """
+        return self.publish(*self.stage_index())
 
     def index_stream(self, place: str, checkpoint: str, max_files: int | None = None):
         """A stream that keeps postings at ``place`` up to date with new files."""
@@ -184,21 +235,8 @@ class RecordStore:
         return search.search(self.postings, query, self.catalog, strict, self.shard_stats)
 
     def search(self, query: Mapping[str, str | None], strict: bool = False) -> DataFrame:
-        """Full records of the matching documents.
-
-        A short list of ids becomes literals, which partition pruning and the
-        Bloom filters of the document files can use. A longer one is joined.
-        """
-        ids = self.find(query, strict)
-        few = ids.limit(POINT_LOOKUPS + 1).collect()
-        stored = self.documents
-        if len(few) <= POINT_LOOKUPS:
-            stored = stored.where(
-                F.col("source_table").isin(sorted({r["source_table"] for r in few}))
-                & F.col("doc_id").isin([r["doc_id"] for r in few])
-            )
-            return results.result_records(results.first_of_each(stored))
-        return results.result_records(results.fetch(stored, ids))
+        """Full records of the matching documents: one plan, however many there are."""
+        return results.result_records(results.fetch(self.documents, self.find(query, strict)))
 
     def search_chunks(self, query: Mapping[str, str | None], chunk_items: int = results.CHUNK_ITEMS) -> Iterator[list[Row]]:
         """Headers and records in order, a chunk at a time."""

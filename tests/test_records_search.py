@@ -103,6 +103,7 @@ def test_search(index, query, expected):
 
 def test_strict_search_does_not_widen(index):
     assert ids(index, {"number": "none", "mail": "broken"}, strict=True) == set()
+    assert ids(index, {"unknown": "x", "mail": "ann@x.org"}, strict=True) == set()
 
 
 def test_narrowest_first_gives_the_same_ids(spark, index):
@@ -114,6 +115,9 @@ def test_narrowest_first_gives_the_same_ids(spark, index):
     terms = search.resolve(spark, query, CATALOG)
     plan = search.matching_ids(index, terms, stats)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan
+    # Without counts nothing is known to be narrow, and nothing is broadcast by hint.
+    assert ids(index, query, shard_stats=stats.limit(0)) == {"people:10"}
+    assert "broadcast" not in plan.lower()
 
 
 def test_prefix_bounds_reach_the_scan(spark, index, tmp_path):

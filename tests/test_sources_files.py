@@ -64,6 +64,46 @@ def test_folder_of_files(spark, tmp_path):
         json_folder.read_records(spark, str(tmp_path)).collect()
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        '[{"id": 1}]{"id": 2}', '[{"id": 1}][{"id": 2}]', '[{"id": 1}],[{"id": 2}]', '{"id": 1}] junk', '{"id": 1}]] junk',
+        '[{"id": 1}] junk', '{"id": 1}],[{"seal": "x"}]] junk', '{"id": 1}} {"id": 2}',
+    ],
+)
+def test_nothing_may_follow_the_first_value(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    assert rows(json_folder.unreadable(json_folder.read_whole_files(spark, str(tmp_path)))) == [("a.json",)]
+    with pytest.raises(Exception, match="not readable"):
+        json_folder.read_records(spark, str(tmp_path)).collect()
+
+
+def test_a_line_is_one_object(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"a": 1},{"a": 2}\n{"a": 3}] junk\n{"a": 4}\n[{"a": 5}]\n')
+    got = json_folder.read_json_lines(spark, str(tmp_path), quarantine=True)
+    assert rows(got.select("seq", F.col("raw")["a"], F.col("broken").isNotNull())) == [
+        (1, None, True), (2, None, True), (3, "4", False), (4, None, True),
+    ]
+    with pytest.raises(Exception, match="not a JSON object"):
+        json_folder.read_json_lines(spark, str(tmp_path)).collect()
+
+
+def test_a_file_name_must_leave_a_source_name(spark):
+    files = spark.createDataFrame([(1, " .json")], "no bigint, file_name string")
+    none = spark.createDataFrame([], "source_table string")
+    with pytest.raises(Exception, match="no source name"):
+        naming.unique_source_names(files, none, ["no"], block_of(F.col("no"), 2)).collect()
+
+
+def test_sample_stats_with_nulls_and_an_outlier(spark):
+    samples = [("n", None), ("n", 1.0), ("n", 2.0), ("n", 3.0), ("x", None)]
+    samples += [("o", float(i % 1000)) for i in range(5000)] + [("o", 1e12)]
+    got = {r["g"]: r for r in profile.sample_stats(spark.createDataFrame(samples, "g string, v double"), "g", "v").collect()}
+    assert set(got) == {"n", "o"}
+    assert (got["n"]["samples"], got["n"]["mean"], got["n"]["median"]) == (3, 2.0, 2.0)
+    assert (got["o"]["samples"], got["o"]["median"]) == (5001, 500.0)
+
+
 def test_json_lines(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
     got = json_folder.read_json_lines(spark, str(tmp_path))
