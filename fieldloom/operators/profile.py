@@ -75,26 +75,28 @@ def document_shards(documents: DataFrame) -> DataFrame:
 def index_summary(postings: DataFrame) -> DataFrame:
     """Entries and documents per source and field, per source, and in all.
 
-    Rows with a null field or source are the totals. Documents are counted with
-    the distinct (source, document) pairs formed first, so that no total gathers
-    every id in one task.
+    Rows with a null field or source are the totals. The postings are read once:
+    they are reduced to a count per document and field, and within each document
+    its first field also stands for the document. Totals are sums of those, so no
+    total gathers ids.
     """
-    entries = postings.rollup("source_table", "field").agg(F.count("*").alias("entries"))
-    per_field = (
-        postings.select("source_table", "field", "doc_id").distinct().groupBy("source_table", "field").agg(F.count("*").alias("documents"))
+    per_field = postings.groupBy("source_table", "doc_id", "field").agg(F.count("*").alias("n"))
+    counts = F.array_agg(F.struct("field", "n"))
+    per_document = per_field.groupBy("source_table", "doc_id").agg(counts.alias("fields"))
+    rows = per_document.select("source_table", F.posexplode("fields").alias("place", "cell")).select(
+        "source_table",
+        F.col("cell.field").alias("field"),
+        F.col("cell.n").alias("n"),
+        F.when(F.col("place") == 0, 1).otherwise(0).alias("head"),
     )
-    per_source = postings.select("source_table", "doc_id").distinct().groupBy("source_table").agg(F.count("*").alias("documents"))
-    in_all = per_source.agg(F.sum("documents").alias("documents"))
-    none = F.lit(None).cast("string")
-    documents = (
-        per_field.unionByName(per_source.withColumn("field", none))
-        .unionByName(in_all.withColumn("field", none).withColumn("source_table", none))
-        .withColumnsRenamed({"source_table": "_s", "field": "_f"})
+    cells = rows.groupBy("source_table", "field").agg(
+        F.sum("n").alias("entries"), F.count("*").alias("documents"), F.sum("head").alias("heads")
     )
-    same = F.col("source_table").eqNullSafe(F.col("_s")) & F.col("field").eqNullSafe(F.col("_f"))
-    return entries.join(documents, same, "left").select(
-        "source_table", "field", "entries", F.coalesce("documents", F.lit(0)).alias("documents")
+    totals = cells.rollup("source_table", "field").agg(
+        F.sum("entries").alias("entries"),
+        F.when(F.grouping_id() == 0, F.sum("documents")).otherwise(F.sum("heads")).alias("documents"),
     )
+    return totals.select("source_table", "field", "entries", "documents")
 
 
 def duplicate_ids(documents: DataFrame) -> DataFrame:

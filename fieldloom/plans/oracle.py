@@ -229,7 +229,17 @@ ORACLE["batch_wildcard"] = on_base(
   ON p.field = q.field AND p.term LIKE q.pattern"""
 )
 
+ORACLE["batch_mixed"] = on_base(
+    f"""SELECT DISTINCT q.query_id, p.{IDS.replace(', ', ', p.')} FROM post p JOIN (
+  SELECT n_nationkey AS query_id, 'ref' AS field, printf('%07d__', n_nationkey) AS pattern FROM nation
+  UNION ALL SELECT min(p_partkey) + 1000, 'label', '%' || upper(split_part(p_name, ' ', 2)) FROM part GROUP BY 3
+  UNION ALL SELECT s_suppkey + 10000000, 'ref', {only_digits('s_name')} FROM supplier
+  UNION ALL SELECT min(event_id) + 20000000, 'type', replace(event_type, '_', '\\_') FROM events GROUP BY event_type) q
+  ON p.field = q.field AND p.term LIKE q.pattern ESCAPE '\\'"""
+)
+
 ORACLE["shard_stats"] = on_base("SELECT field, shard, count(*) AS n FROM post GROUP BY 1, 2")
+ORACLE["staged_publish"] = ORACLE["shard_stats"]
 SHARDS = """,
 shards AS (SELECT field, shard, count(*) AS n,
   sum(strlen(term) + strlen(doc_id) + strlen(source_table) + strlen(row_id))::BIGINT AS bytes FROM post GROUP BY 1, 2)"""
@@ -405,21 +415,24 @@ ORACLE["catalog_sorted"] = f"WITH {FEEDS} SELECT name_table, count FROM cat ORDE
 ORACLE["catalog_totals"] = f"WITH {FEEDS} SELECT count(*) AS rows, sum(count::BIGINT)::BIGINT AS records FROM cat WHERE type = 'MACHINERY'"
 ORACLE["catalog_types"] = """
 SELECT DISTINCT CASE WHEN c_mktsegment = 'BUILDING' THEN 'unknown' ELSE c_mktsegment END AS type FROM customer"""
+ORACLE["timeline_rows"] = f"""
+WITH {FEEDS} SELECT year(day)::INT AS year, month(day)::INT AS month, day(day)::INT AS day, strftime(day, '%d.%m.%Y') AS shown_date,
+  coalesce(nullif(name, ''), name_table) AS name, count::BIGINT AS records
+FROM (SELECT *, updated_at::DATE AS day FROM cat WHERE updated_at <> '')"""
 ORACLE["update_timeline"] = f"""
 WITH {FEEDS} SELECT year(day)::INT AS year, month(day)::INT AS month, count(*) AS sources, sum(count::BIGINT)::BIGINT AS records,
   strftime(max(day), '%Y-%m-%d') AS newest FROM (SELECT *, updated_at::DATE AS day FROM cat WHERE updated_at <> '') GROUP BY 1, 2"""
 
-ORACLE["stream_postings"] = on_base(
-    """SELECT field, shard, term, doc_id, source_table, row_id FROM post WHERE field = 'ref' AND source_table IN ('customer', 'supplier')"""
+ORACLE["stream_postings"] = ORACLE["postings"]
+ORACLE["stream_alerts"] = on_base(
+    f"""SELECT q.s_suppkey AS query_id, p.{IDS.replace(', ', ', p.')} FROM post p JOIN supplier q
+  ON p.field = 'ref' AND p.term = {only_digits('q.s_name')}"""
 )
-ORACLE["stream_alerts"] = """
-SELECT s_suppkey AS query_id, 'customer:' || c_custkey AS doc_id, 'customer' AS source_table
-FROM supplier JOIN customer ON substr(s_name, 10) = substr(c_name, 10)
-UNION ALL SELECT s_suppkey, 'supplier:' || s_suppkey, 'supplier' FROM supplier"""
-
 ORACLE["stream_wildcard_alerts"] = on_base(
-    """SELECT n_nationkey AS query_id, doc_id, source_table, field, term FROM post
-JOIN nation ON term LIKE printf('%07d__', n_nationkey) WHERE field = 'ref' AND source_table IN ('customer', 'supplier')"""
+    """SELECT q.query_id, p.doc_id, p.source_table, p.field, p.term FROM post p JOIN (
+  SELECT n_nationkey AS query_id, 'ref' AS field, printf('%07d__', n_nationkey) AS pattern FROM nation
+  UNION ALL SELECT min(p_partkey) + 1000, 'label', '%' || upper(split_part(p_name, ' ', 2)) FROM part GROUP BY 3) q
+  ON p.field = q.field AND p.term LIKE q.pattern"""
 )
 
 CELL = "CASE WHEN regexp_matches({0}, '[\",\\n]') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE {0} END"

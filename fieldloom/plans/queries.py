@@ -30,6 +30,7 @@ from fieldloom.sources.tables import (
     table,
     table_postings,
 )
+from fieldloom.store import RecordStore
 from fieldloom.streaming.alerts import standing_hits, standing_wildcard_hits
 from fieldloom.streaming.upkeep import append_stream
 
@@ -163,9 +164,30 @@ def batch_wildcard(spark, sf_dir):
     return batch.wildcard_hits(table_postings(spark, sf_dir, {"ref", "label"}), terms)
 
 
+@query
+def batch_mixed(spark, sf_dir):
+    """Exact and wildcard lines over many fields in one table of queries."""
+    names = table(spark, sf_dir, "supplier").select(
+        (F.col("s_suppkey") + 10_000_000).alias("query_id"), F.lit("ref").alias("field"), F.col("s_name").alias("value")
+    )
+    kinds = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("value")).agg(F.min("event_id").alias("query_id"))
+    kinds = kinds.select((F.col("query_id") + 20_000_000).alias("query_id"), F.lit("type").alias("field"), "value")
+    queries = wildcard_queries(spark, sf_dir).unionByName(names).unionByName(kinds)
+    return batch.batch_search(table_postings(spark, sf_dir, {"ref", "label", "type"}), queries, TABLE_CATALOG)
+
+
 # -- index --------------------------------------------------------------------
 
 
+@query
+def staged_publish(spark, sf_dir):
+    """Shard counts of a store of all sources, after a staged and published run."""
+    store = RecordStore(spark, shared_dir(spark, "published"), TABLE_CATALOG)
+    store.append(all_records(spark, sf_dir))
+    store.publish(*store.stage_index())
+    return store.shard_stats
+
+
 @query
 def postings_build(spark, sf_dir):
     return table_postings(spark, sf_dir)
@@ -597,6 +619,13 @@ def catalog_types(spark, sf_dir):
     return sources.catalog_types(order_feeds(spark, sf_dir))
 
 
+@query
+def timeline_rows(spark, sf_dir):
+    """Dated catalogue rows, shown newest first."""
+    rows = sources.timeline_rows(_catalog(spark, sf_dir))
+    return rows.select("year", "month", "day", "shown_date", "name", "records")
+
+
 @query
 def update_timeline(spark, sf_dir):
     months = sources.timeline_months(sources.timeline_rows(_catalog(spark, sf_dir)))
@@ -607,17 +636,8 @@ def update_timeline(spark, sf_dir):
 
 
 def _record_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and suppliers as arriving records."""
-    def arriving(name: str, key: str, value: str) -> DataFrame:
-        schema = table(spark, sf_dir, name).schema
-        rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-        return rows.select(
-            F.lit(name).alias("source_table"),
-            (F.col(key) + 1).alias("seq"),
-            F.create_map(F.lit("id"), F.col(key).cast("string"), F.lit("ref"), F.col(value)).alias("raw"),
-        )
-
-    return arriving("customer", "c_custkey", "c_name").unionByName(arriving("supplier", "s_suppkey", "s_name"))
+    """The records of all sources, arriving."""
+    return all_records(spark, sf_dir, stream=True)
 
 
 def _run_stream(spark: SparkSession, rows: DataFrame, purpose: str, partition_by: list[str] | None = None) -> DataFrame:

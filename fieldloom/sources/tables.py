@@ -60,7 +60,11 @@ SCHEMAS = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    """A test table, at rest or as one that arrives."""
+    if stream:
+        rows = spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet")
+        return rows.parquet(sf_dir)
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -83,9 +87,9 @@ def day(column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd")
 
 
-def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def customers(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    rows = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    rows = table(spark, sf_dir, "customer", stream).join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return _records(
         rows,
         "customer",
@@ -94,9 +98,9 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def suppliers(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    rows = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    rows = table(spark, sf_dir, "supplier", stream).join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
     return _records(
         rows,
         "supplier",
@@ -105,9 +109,9 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parts(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     return _records(
-        table(spark, sf_dir, "part"),
+        table(spark, sf_dir, "part", stream),
         "part",
         "p_partkey",
         {
@@ -120,9 +124,9 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     return _records(
-        table(spark, sf_dir, "orders"),
+        table(spark, sf_dir, "orders", stream),
         "orders",
         "o_orderkey",
         {
@@ -134,9 +138,9 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     return _records(
-        table(spark, sf_dir, "events"),
+        table(spark, sf_dir, "events", stream),
         "events",
         "event_id",
         {
@@ -147,18 +151,18 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def texts(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Text documents. The whole text is the ``ref`` value: digit runs are mined."""
     addresses = F.array_join(F.regexp_extract_all("text", F.lit(ADDRESS), F.lit(0)), " ")
     return _records(
-        table(spark, sf_dir, "documents"),
+        table(spark, sf_dir, "documents", stream),
         "documents",
         "doc_id",
         {"ref": F.col("text"), "email": addresses, "lang": F.col("lang"), "source": F.col("source")},
     )
 
 
-SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+SOURCES: dict[str, Callable[..., DataFrame]] = {
     "customer": customers,
     "supplier": suppliers,
     "part": parts,
@@ -179,9 +183,9 @@ SOURCE_FIELDS: dict[str, frozenset[str]] = {
 }
 
 
-def all_records(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> DataFrame:
+def all_records(spark: SparkSession, sf_dir: str, names: list[str] | None = None, stream: bool = False) -> DataFrame:
     """The union of the named sources (all by default)."""
-    return reduce(DataFrame.unionByName, [SOURCES[n](spark, sf_dir) for n in (names or SOURCES)])
+    return reduce(DataFrame.unionByName, [SOURCES[n](spark, sf_dir, stream) for n in (names or SOURCES)])
 
 
 def table_postings(spark: SparkSession, sf_dir: str, fields: set[str] | None = None) -> DataFrame:

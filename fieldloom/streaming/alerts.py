@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.catalog import Catalog
-from fieldloom.operators.batch import matched_terms, query_terms
+from fieldloom.operators.batch import exact_hits, matched_terms, query_terms
 
 
 def standing_hits(arriving: DataFrame, queries: DataFrame, catalog: Catalog) -> DataFrame:
     """Hits of exact standing queries, as a stream–static join.
 
-    No state is kept: each posting meets the whole query table in its batch.
+    No state is kept: each posting meets the whole query table in its batch. The
+    postings of one term are salted, as a batch has no adaptive skew handling.
     """
-    wanted = query_terms(queries, catalog).where(~F.col("wildcard")).select("query_id", "field", "term")
-    return arriving.join(wanted, ["field", "term"]).select("query_id", "doc_id", "source_table")
+    return exact_hits(arriving, query_terms(queries, catalog))
 
 
 def standing_wildcard_hits(arriving: DataFrame, queries: DataFrame, catalog: Catalog) -> DataFrame:
