@@ -36,6 +36,7 @@ WINDOW = 64
 STEP = 32
 #: Texts, as a mean, whose spans the tagger learns from.
 FIT_TEXTS = 600
+FIT_PLACES = 8
 #: Training windows at most; of more, every so-manieth in text order.
 FIT_WINDOWS = 4_000
 STEPS = 260
@@ -171,7 +172,8 @@ class PiiModel:
 def fit_pii(docs: DataFrame, rows: int = FIT_TEXTS, steps: int = STEPS) -> PiiModel:
     """A model from about ``rows`` texts with a trigger, taken by the hash of the text.
 
-    Of a long text the tagger learns from its windows with a trigger.
+    Of each of these the tagger learns from the surroundings of at most
+    ``FIT_PLACES`` triggers.
     """
     bound_batches(docs.sparkSession)
     texts = docs.select("text").filter(F.col("text").rlike(TRIGGER))
@@ -180,7 +182,7 @@ def fit_pii(docs: DataFrame, rows: int = FIT_TEXTS, steps: int = STEPS) -> PiiMo
     chosen = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < rate).distinct()
     around = F.expr("regexp_extract_all(text, '(?s).{0,120}?(?:[0-9@]|[(\\\\[]at[)\\\\]]).{0,120}', 0)")
     # Only the surroundings of triggers go to the driver.
-    parts = chosen.select(F.explode(F.slice(around, 1, 8)).alias("part")).distinct()
+    parts = chosen.select(F.explode(F.slice(around, 1, FIT_PLACES)).alias("part")).distinct()
     return PiiModel(fit_tagger(sorted(r["part"] for r in parts.collect()), steps))
 
 

@@ -48,14 +48,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A conversation whose texts hold control strings, added to the table's.
-CONFLICT = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+CONFLICT = """
+SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text
+FROM VALUES (0L, 'user'), (1L, 'assistant') AS turns (turn, role)
+"""
 
 
 @query
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    added = spark.createDataFrame(CONFLICT, "conv_id long, turn long, role string, text string")
-    return chat_format.digest(chat_format.formatted_conversations(rows.union(added)))
+    return chat_format.digest(chat_format.formatted_conversations(rows.union(spark.sql(CONFLICT))))
 
 
 @query

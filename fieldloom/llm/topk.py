@@ -149,10 +149,14 @@ def top_k(
     asked = given.filter(is_query).dropDuplicates(["vec_id", "q"])
     asked = written(asked.groupBy(bucket(2, blocks).alias("block")).agg(rows.alias("queries")), "queries")
     every = sharded.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    # A row holds a whole shard and a block of queries.
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "1")
     pairs = every.join(asked.withColumn("block", F.col("block").cast("long")), "block").select("queries", "vectors")
     spread = pairs.repartition(shards * blocks)
     found = written(spread.mapInArrow(_searched(k), FOUND), "found")
+    spark.conf.set(setting, before)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
