@@ -13,7 +13,7 @@ import statistics
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.operators import batch, profile
@@ -44,10 +44,26 @@ def median_seconds(action: Callable[[], None]) -> float:
     return statistics.median(seconds(action) for _ in range(RUNS))
 
 
+def json_folder(spark: SparkSession) -> str:
+    """All orders as JSON files, to be imported."""
+    folder = shared_dir(spark, "bench-incoming")
+    rows = table(spark, SF_DIR, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.format_string("Customer#%09d", F.col("o_custkey")).alias("ref"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_date"),
+        F.col("o_orderstatus").alias("status"),
+    )
+    rows.write.json(folder)
+    return folder
+
+
 def main() -> None:
     spark = build_session("fieldloom-bench", CPUS)
     times: dict[str, float] = {}
+    incoming = json_folder(spark)
     for _ in ("warm-up", "measured"):
+        fresh = RecordStore(spark, shared_dir(spark, "bench-import"), TABLE_CATALOG)
+        times["import_folder"] = seconds(lambda s=fresh: s.import_folder(incoming))
         store = RecordStore(spark, shared_dir(spark, "bench"), TABLE_CATALOG)
         times["import_documents"] = seconds(lambda s=store: s.append(all_records(spark, SF_DIR)))
         times["build_index"] = seconds(store.build_index)
