@@ -42,10 +42,11 @@ def _whole(vector: Column) -> Column:
     return F.coalesce(~bad, F.lit(False))
 
 
-def _matrix(rows: list[list[int]], width: int) -> np.ndarray:
+def _matrix(rows: pa.ListArray, width: int) -> np.ndarray:
+    """The lists as rows, filled up with zeros."""
+    sizes = rows.value_lengths().to_numpy(zero_copy_only=False)
     out = np.zeros((len(rows), width), np.int64)
-    for i, row in enumerate(rows):
-        out[i, : len(row)] = row
+    out[np.arange(width) < sizes[:, None]] = rows.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
@@ -107,8 +108,8 @@ def _searched(k: int):
                 sides = []
                 for name in ("queries", "vectors"):
                     items = batch.column(name)[row].values
-                    sides.append((items.field("vec_id").to_numpy(zero_copy_only=False), items.field("q").to_pylist()))
-                width = max(len(q) for _, rows in sides for q in rows)
+                    sides.append((items.field("vec_id").to_numpy(zero_copy_only=False), items.field("q")))
+                width = max(int(q.value_lengths().to_numpy(zero_copy_only=False).max()) for _, q in sides)
                 (query_ids, queries), (ids, vectors) = [(i, _matrix(q, width)) for i, q in sides]
                 found = list(shard_top(query_ids, queries, ids, vectors, k))
                 columns = [
