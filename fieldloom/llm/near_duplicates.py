@@ -179,7 +179,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = SHINGL
 
     marks = ["mark", "mark2", "n_shingles"]
     linkable = sketches.filter("n_shingles > 0 and doc_id is not null")
-    classes = linkable.groupBy(*marks).agg(F.min("doc_id").alias("first_id"))
+    # Written, so that the join at the end stands on plain tables and Spark can split a
+    # class that holds very many rows.
+    classes = written(linkable.groupBy(*marks).agg(F.min("doc_id").alias("first_id")), "classes")
     first = classes.select(F.col("first_id").alias("doc_id"))
     unique = linkable.join(first, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("band"))
     places = written(unique.distinct(), "places")
@@ -222,8 +224,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = SHINGL
     found = written(_confirmed(more, sets, percent), "more-links")
     labels = components(links.union(found))
 
-    named = sketches.select("doc_id", *marks).join(classes, marks, "left")
-    named = named.join(labels, F.col("first_id") == F.col("node"), "left")
+    # The component of a class is joined to the few columns of the classes first.
+    found_in = classes.join(labels, F.col("first_id") == F.col("node"), "left")
+    found_in = written(found_in.select(*marks, "first_id", "component"), "class-components")
+    named = sketches.select("doc_id", *marks).join(found_in, marks, "left")
     linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "first_id"))
     component = F.coalesce(linked, F.col("doc_id"))
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
