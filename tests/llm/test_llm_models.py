@@ -228,3 +228,56 @@ def test_leak_search_keeps_every_window():
     latent = decontamination._latent(np.array([0]), block, place, first, space.astype(np.float32))
     model = decontamination.LeakModel(keys, idf, space.astype(np.float32), latent, np.array([0]), items)
     assert all(f and f[0]["share"] == 1.0 for f in decontamination._found_in(model)(pa.array(texts)))
+
+
+def leak_pairs(spark, rows, bench):
+    given = docs(spark, rows)
+    models = decontamination.fit_leaks(given, spark.createDataFrame(bench, "item_id long, text string"))
+    kept = {r.doc_id for r in decontamination.without_leaks(given, models).collect()}
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(given, models).collect()}
+    assert kept == {d for d, _ in rows} - {d for d, _ in found}
+    return found
+
+
+@pytest.mark.parametrize("edits", [0, 0.1, 0.3])
+def test_items_leaked_into_half_of_the_texts_are_found(spark, edits):
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(3000)]
+
+    def text(n):
+        return [rng.choice(["the", "of", "and"]) if rng.random() < 0.3 else rng.choice(vocabulary) for _ in range(n)]
+
+    items = {i: text(40) for i in range(20)}
+    rows, want = [], set()
+    for i in range(300):
+        own = text(rng.randint(20, 120))
+        if i % 2:
+            copy = [w if rng.random() >= edits else rng.choice(vocabulary) for w in items[0]]
+            at = rng.randint(0, len(own))
+            own = own[:at] + copy + own[at:]
+            if lcs(items[0], copy) >= 0.6 * len(copy):
+                want.add((i, 0))
+        rows.append((i, " ".join(own)))
+    found = leak_pairs(spark, rows, [(i, " ".join(w)) for i, w in items.items()])
+    assert want <= found and {d % 2 for d, _ in found} == {1} and {i for _, i in found} == {0}
+
+
+@pytest.mark.parametrize("size", [1, 5, 10])
+def test_a_leak_in_a_small_table_is_found(spark, size):
+    rng = random.Random(size)
+    item = [f"q{i}" for i in range(20)]
+    rows = [(i, " ".join(f"v{rng.randrange(300)}" for _ in range(50))) for i in range(size)]
+    rows[0] = (0, rows[0][1] + " " + " ".join(item))
+    assert leak_pairs(spark, rows, [(5, " ".join(item))]) == {(0, 5)}
+
+
+def test_items_of_common_words_are_found_without_a_quote(spark):
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(60)]
+    item = [rng.choice(common) for _ in range(30)]
+    # Every fourth word is another one, so no four words in a row stay.
+    copy = [w if i % 4 else "other" for i, w in enumerate(item)]
+    rows = [(i, " ".join(rng.choice(common) for _ in range(60))) for i in range(60)]
+    rows[7] = (7, " ".join(copy))
+    found = leak_pairs(spark, rows, [(1, " ".join(item))])
+    assert (7, 1) in found
