@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from helpers_llm import AWKWARD, docs, words
 from pyspark.sql import functions as F
 
@@ -142,3 +143,24 @@ def test_planted_passages_are_found(spark):
             assert r.n_equal <= min(r.end_a - r.start_a, r.end_b - r.start_b)
             assert r.end_a <= len(texts[r.doc_a])
     assert passages.shared_passages(docs(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("holders", [1, 6])
+def test_partial_holders_do_not_hide_a_passage(spark, holders):
+    """Texts with a part of a passage have the smallest and greatest ids."""
+    rng = random.Random(holders)
+    vocabulary = [f"v{i}" for i in range(5000)]
+
+    def text(n):
+        return [rng.choice(vocabulary) for _ in range(n)]
+
+    for _ in range(3 if holders == 1 else 1):
+        passage = text(80)
+        rows = [(i, " ".join([*text(30), *passage, *text(30)])) for i in (500, 600)]
+        for part, low in enumerate((0, 20, 40)):
+            for i in range(holders):
+                for doc_id in (1 + part + 3 * i, 990 + part + 3 * i):
+                    rows.append((doc_id, " ".join([*text(30), *passage[low : low + 40], *text(30)])))
+        found = passages.shared_passages(docs(spark, rows)).collect()
+        assert (500, 600) in {(r.doc_a, r.doc_b) for r in found}
+        assert all(r.end_a - r.start_a >= 45 for r in found)
