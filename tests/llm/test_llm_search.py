@@ -164,3 +164,36 @@ def test_partial_holders_do_not_hide_a_passage(spark, holders):
         found = passages.shared_passages(docs(spark, rows)).collect()
         assert (500, 600) in {(r.doc_a, r.doc_b) for r in found}
         assert all(r.end_a - r.start_a >= 45 for r in found)
+
+
+def brute_passage(a, b):
+    """Whether two word lists have a long enough passage without shifts that agrees enough."""
+    for shift in range(-len(b) + 45, len(a) - 44):
+        same = [x == y for x, y in zip(a[max(0, shift) :], b[max(0, -shift) :], strict=False)]
+        sums = np.concatenate(([0], np.cumsum(same)))
+        for n in range(45, len(same) + 1):
+            if (sums[n:] - sums[:-n] >= passages.AGREE * n).any():
+                return True
+    return False
+
+
+def test_fuzzy_passages_are_found(spark):
+    """Recall against brute force for 50 words of which 10 to 25 % are replaced."""
+    rng = random.Random(13)
+
+    def text(n):
+        return [f"v{rng.randrange(20000)}" for _ in range(n)]
+
+    rows, want = [], {}
+    for i in range(0, 800, 2):
+        share = (0.1, 0.15, 0.2, 0.25)[i // 2 % 4]
+        passage = text(50)
+        copy = [w if rng.random() >= share else text(1)[0] for w in passage]
+        a, b = text(30) + passage + text(30), text(40) + copy + text(20)
+        rows += [(i, " ".join(a)), (i + 1, " ".join(b))]
+        if brute_passage(a, b):
+            want.setdefault(share, set()).add((i, i + 1))
+    found = {(r.doc_a, r.doc_b) for r in passages.shared_passages(docs(spark, rows)).collect()}
+    recall = {share: len(pairs & found) / len(pairs) for share, pairs in want.items()}
+    print(recall, {share: len(pairs) for share, pairs in want.items()})
+    assert min(recall.values()) >= 0.95 and found <= set.union(*want.values())
