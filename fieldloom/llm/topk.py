@@ -57,12 +57,21 @@ def _exact(queries: np.ndarray, vectors: np.ndarray) -> type:
 
 
 def shard_top(
-    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
+    query_ids: np.ndarray,
+    queries: np.ndarray,
+    ids: np.ndarray,
+    vectors: np.ndarray,
+    k: int,
+    copies: np.ndarray | None = None,
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Each query's ``k`` best vectors of one shard: (query, ids, scores); ties to smaller ids."""
+    """Each query's ``k`` best vectors of one shard: (query, ids, scores); ties to smaller ids.
+
+    ``copies``: how often each vector counts.
+    """
     kind = _exact(queries, vectors)
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
+    copies = None if copies is None else copies[order]
     # One row per term: its postings.
     postings = np.ascontiguousarray(vectors[order].T.astype(kind))
     high, low = postings.max(axis=1, initial=0), postings.min(axis=1, initial=0)
@@ -98,6 +107,8 @@ def shard_top(
             alive, score = alive[score >= bar], score[score >= bar]
         # Ids ascend, so a stable sort leaves ties in their order.
         best = np.argsort(-score, kind="stable")[:k]
+        if copies is not None:
+            best = np.repeat(best, np.minimum(copies[alive[best]], k))[:k]
         yield query_id, ids[alive[best]], score[best].astype(np.int64)
 
 
@@ -109,9 +120,10 @@ def _searched(k: int):
                 for name in ("queries", "vectors"):
                     items = batch.column(name)[row].values
                     sides.append((items.field("vec_id").to_numpy(zero_copy_only=False), items.field("q")))
+                copies = batch.column("vectors")[row].values.field("copies").to_numpy(zero_copy_only=False)
                 width = max(int(q.value_lengths().to_numpy(zero_copy_only=False).max()) for _, q in sides)
                 (query_ids, queries), (ids, vectors) = [(i, _matrix(q, width)) for i, q in sides]
-                found = list(shard_top(query_ids, queries, ids, vectors, k))
+                found = list(shard_top(query_ids, queries, ids, vectors, k, copies))
                 columns = [
                     np.repeat([f[0] for f in found], [len(f[1]) for f in found]),
                     np.concatenate([f[1] for f in found]),
@@ -137,17 +149,19 @@ def top_k(
     spark = vectors.sparkSession
     given = vectors.filter(F.col("vec_id").isNotNull() & _whole(F.col("embedding")))
     given = given.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("q"))
+    # Equal rows are counted first, so that a row repeated very often stays one row of a shard.
+    given = written(given.groupBy("vec_id", "q").agg(F.count(F.lit(1)).alias("copies")), "vectors")
     counts = given.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     shards, blocks = (max(1, -(-n // size)) for n, size in zip(counts, (shard_rows, BLOCK_QUERIES), strict=True))
 
     def bucket(salt: int, count: int) -> Column:
         return F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(count))
 
-    rows = F.collect_list(F.struct("vec_id", "q"))
+    rows = F.collect_list(F.struct("vec_id", "q", "copies"))
     # Repeated ids are spread by their vectors.
     shard = F.pmod(F.xxhash64("vec_id", "q"), F.lit(shards))
     sharded = written(given.groupBy(shard.alias("shard")).agg(rows.alias("vectors")), "shards")
-    asked = given.filter(is_query).dropDuplicates(["vec_id", "q"])
+    asked = given.filter(is_query)
     asked = written(asked.groupBy(bucket(2, blocks).alias("block")).agg(rows.alias("queries")), "queries")
     every = sharded.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     # A row holds a whole shard and a block of queries.

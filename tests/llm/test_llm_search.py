@@ -197,3 +197,18 @@ def test_fuzzy_passages_are_found(spark):
     recall = {share: len(pairs & found) / len(pairs) for share, pairs in want.items()}
     print(recall, {share: len(pairs) for share, pairs in want.items()})
     assert min(recall.values()) >= 0.95 and found <= set.union(*want.values())
+
+
+def test_repeated_vectors_are_one_row_of_a_shard(spark, monkeypatch):
+    rows = [(i, [float(i % 7), float(i % 5)]) for i in range(60)] + [(61, [3.0, 4.0])] * 500 + [(62, [6.0, 1.0])] * 3
+    given = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    kept, write = {}, topk.written
+    monkeypatch.setattr(topk, "written", lambda df, purpose: kept.setdefault(purpose, write(df, purpose)))
+    got = topk.top_k(given, F.col("vec_id") % 20 == 0, k=7, shard_rows=20).collect()
+    want = []
+    for query in (0, 20, 40):
+        q = rows[query][1]
+        best = sorted((-int(64 * 64 * (q[0] * v[0] + q[1] * v[1])), i) for i, v in rows if i != query)[:7]
+        want += [(query, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert kept["shards"].agg(F.sum(F.size("vectors"))).first()[0] == 62
