@@ -281,3 +281,28 @@ def test_items_of_common_words_are_found_without_a_quote(spark):
     rows[7] = (7, " ".join(copy))
     found = leak_pairs(spark, rows, [(1, " ".join(item))])
     assert (7, 1) in found
+
+
+def test_recall_of_a_full_block(spark):
+    """The real fit on 1000 items against the common subsequences of planted edits."""
+    rng = random.Random(17)
+    vocabulary = [f"v{i}" for i in range(8000)]
+    weights = [1 / (i + 3) for i in range(len(vocabulary))]
+
+    def text(n):
+        return rng.choices(vocabulary, weights, k=n)
+
+    items = [text(rng.randint(20, 60)) for _ in range(decontamination.BLOCK_ITEMS)]
+    rows, want = [], set()
+    for i in range(1200):
+        number, own = rng.randrange(len(items)), text(rng.randint(50, 150))
+        copy = [w if rng.random() > 0.3 else text(1)[0] for w in items[number]]
+        rows.append((i, " ".join(own[:40] + copy + own[40:])))
+        if lcs(items[number], copy) >= decontamination.COMMON * len(copy):
+            want.add((i, number))
+    given = docs(spark, rows)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    models = decontamination.fit_leaks(given, bench)
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(given, models).collect()}
+    print("recall", len(want & found), len(want), "others", len(found - want))
+    assert len(models) == 1 and len(want & found) >= 0.9 * len(want)
