@@ -74,3 +74,97 @@ ranked AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+
+def _states(found: dict[str, list[str]]) -> str:
+    """Per state the least of some ways there, each a struct of cost, audit and repaired text."""
+    return "{" + ", ".join(f"'{s}': list_min([{', '.join(ways)}])" for s, ways in found.items()) + "}"
+
+
+def _way(state: str, cost: object, letters: str, role: str = "", text: str = "") -> str:
+    more = f"{state}.r || [{role} || ':' || {text}]" if role else f"{state}.r"
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letters}', 'r': {more}}} END"
+
+
+#: b, s, u, a: nothing put out yet, or a system, user or assistant turn at last.
+_SPEAK = {"b": "u", "s": "u", "a": "u", "u": "a"}
+_ROLE = {"u": "'user'", "a": "'assistant'"}
+
+
+def _inserted(of: str) -> str:
+    """At most one turn inserted: applied twice, as two may be."""
+    found = {s: [f"{of}.{s}"] for s in "bsua"}
+    for state, after in _SPEAK.items():
+        found[after].append(_way(f"{of}.{state}", 5, "I", _ROLE[after], "''"))
+    return _states(found)
+
+
+def _edited(of: str) -> str:
+    found = {s: [_way(f"{of}.{s}", 2, "D")] for s in "bsua"}
+    free = "CASE WHEN fault IN ('blank', 'duplicate') THEN NULL ELSE {} END"
+    extra = "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+    for state, after in _SPEAK.items():
+        found[after].append(free.format(_way(f"{of}.{state}", f"1 + {extra}", "R", _ROLE[after], "text")))
+    for initial, state, after in (("s", "b", "s"), ("u", "b", "u"), ("u", "s", "u"), ("u", "a", "u"), ("a", "u", "a")):
+        kept = _way(f"{of}.{state}", extra, "K", "role", "text")
+        found[after].append(free.format(f"CASE WHEN initial = '{initial}' THEN {kept} END"))
+    return _states(found)
+
+
+_BYTE = "CASE WHEN j % 8 = 0 THEN ascii(substr(key, CAST(j // 8 + 1 AS BIGINT), 1)) ELSE 0 END"
+_WAY = "STRUCT(c BIGINT, a VARCHAR, r VARCHAR[])"
+
+#: The rows of a conversation one after another, with the cheapest way to each state.
+ORACLE["op11_conversation_repair"] = rf"""
+WITH RECURSIVE keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+    FROM conversations
+),
+marked AS (
+    SELECT *, xor(list_reduce(range(8 * length(key)), lambda sum, j: xor(xor(sum, {_BYTE}) >> 1,
+            CASE WHEN xor(sum, {_BYTE}) & 1 = 1 THEN 3988292384 ELSE 0 END), 4294967295::BIGINT),
+        4294967295) % 20 AS kind
+    FROM keyed
+),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM marked, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copies(copy)
+),
+placed AS (
+    SELECT *, row_number() OVER w AS i, role[1] AS initial, lag(role[1]) OVER w AS earlier_initial
+    FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+),
+faulty AS (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen THEN 'duplicate'
+        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen FROM placed)
+),
+counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (earlier_initial IS NOT NULL AND earlier_initial || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+        count(*) AS n
+    FROM faulty GROUP BY conv_id
+),
+steps AS (
+    SELECT conv_id, 0::BIGINT AS i, {{'b': {{'c': 0, 'a': '', 'r': []}}::{_WAY}, 's': NULL::{_WAY}, 'u': NULL::{_WAY}, 'a': NULL::{_WAY}}} AS dp
+    FROM (SELECT DISTINCT conv_id FROM conversations)
+    UNION ALL
+    SELECT conv_id, i, {_edited('two')} AS dp FROM (
+        SELECT *, {_inserted('one')} AS two FROM (
+            SELECT f.*, {_inserted('s.dp')} AS one
+            FROM steps s JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i + 1))
+),
+ended AS (
+    SELECT conv_id, list_min([dp.b, dp.a, {_way('dp.u', 5, 'I', "'assistant'", "''")},
+        {_way('dp.s', 10, 'II', "'user:' || chr(10) || 'assistant'", "''")}]) AS best
+    FROM steps s LEFT JOIN counted c USING (conv_id) WHERE s.i = coalesce(c.n, 0)
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit,
+    sha256(array_to_string(best.r, chr(10))) AS repaired_sha256
+FROM ended LEFT JOIN counted USING (conv_id)
+"""

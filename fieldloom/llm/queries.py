@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import (
     chat_format,
+    conversations,
     decontamination,
     near_duplicates,
     packing,
     passages,
     pii,
     quality,
+    ring,
     token_counts,
     topk,
     toxicity,
+    whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +100,18 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.toxic_documents(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired_conversations(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring.digest(ring.sharded(table(spark, sf_dir, "documents")))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(whitening.whitened(table(spark, sf_dir, "embeddings")))

@@ -26,7 +26,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n.split("_")[0][2:]) for n in REGISTRY) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in REGISTRY) == list(range(1, 14))
 
 
 def test_pipeline_stages_take_effect(spark):
