@@ -7,7 +7,7 @@ adaptive skew handling of the join or by the salts below.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.catalog import Catalog
@@ -20,11 +20,13 @@ from fieldloom.functions.fields import (
     wildcard_match,
     wildcard_regex,
 )
+from fieldloom.session import written
 
 SALTS = 16
-# Lengths of the literal prefix a pattern can be joined on. 0 serves patterns
-# that start with a wildcard.
-KEY_LENGTHS = (8, 4, 2, 1, 0)
+#: Lengths of the beginnings and ends a pattern can be joined on.
+AFFIXES = (8, 4, 2, 1)
+#: Lengths of the runs within a term a pattern without either can be joined on.
+GRAMS = (3, 2, 1)
 
 
 def query_terms(queries: DataFrame, catalog: Catalog) -> DataFrame:
@@ -65,48 +67,184 @@ def vocabulary(postings: DataFrame) -> DataFrame:
     return postings.select("field", "term").distinct()
 
 
+def _affix_size(text: Column) -> Column:
+    """The greatest length in ``AFFIXES`` that fits, 0 for an empty text."""
+    size = F.lit(0)
+    for n in reversed(AFFIXES):
+        size = F.when(F.length(text) >= n, n).otherwise(size)
+    return size
+
+
+def _magnitude(length: Column) -> Column:
+    return F.floor(F.log2(length)).cast("int")
+
+
+def pattern_keys(patterns: DataFrame) -> DataFrame:
+    """Add ``kind, key``: what a term must hold to match the pattern in ``term``.
+
+    The beginning before the first wildcard, else the end behind the last one, else
+    three characters of the longest run between wildcards, or fewer where it is
+    shorter. A pattern of wildcards alone is matched by lengths: it gets a row for
+    each power of two that a matching term's length can lie at.
+    """
+    text = F.col("term")
+    rows = patterns.withColumns(
+        {
+            "_head": literal_prefix(text),
+            "_tail": F.reverse(F.regexp_extract(text, r"[^?%]+\z", 0)),
+            "_run": F.array_max(F.transform(F.split(text, "[?%]"), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"],
+            "_least": F.length(F.replace(text, F.lit("%"))),
+        }
+    )
+    head, tail, gram = _affix_size(F.col("_head")), _affix_size(F.col("_tail")), F.least(F.length("_run"), F.lit(GRAMS[0]))
+    low = _magnitude(F.greatest("_least", F.lit(1)))
+    sizes = F.sequence(low, F.when(text.contains("%"), 31).otherwise(low))
+
+    def one(kind: str, size: Column, source: str) -> Column:
+        kinds = F.concat(F.lit(kind), size.cast("string"))
+        return F.array(F.struct(kinds.alias("kind"), F.expr(f"substring({source}, 1, _size)").alias("key")))
+
+    rows = rows.withColumn("_size", F.when(head > 0, head).when(tail > 0, tail).otherwise(gram))
+    keys = (
+        F.when(head > 0, one("head", F.col("_size"), "_head"))
+        .when(tail > 0, one("tail", F.col("_size"), "_tail"))
+        .when(F.col("_run") != "", one("gram", F.col("_size"), "_run"))
+        .otherwise(F.transform(sizes, lambda n: F.struct(F.lit("length").alias("kind"), n.cast("string").alias("key"))))
+    )
+    return rows.select(*patterns.columns, F.inline(keys))
+
+
+def _runs(text: Column, n: int) -> Column:
+    """All runs of ``n`` characters of a text that has as many."""
+    return F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
+
+
+def word_keys(words: DataFrame, kinds: list[str]) -> DataFrame:
+    """Add ``kind, key`` to rows with a ``term``: a row for each key of the given kinds.
+
+    Only the kinds that some pattern asks for are made, so prefixes do not pay for
+    what runs in the middle cost.
+    """
+    text, made = F.col("term"), []
+    back = F.reverse(text)
+
+    def several(kind: str, keys: Column) -> Column:
+        return F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+
+    for n in AFFIXES:
+        for name, source in (("head", text), ("tail", back)):
+            if f"{name}{n}" in kinds:
+                made.append(several(f"{name}{n}", F.when(F.length(text) >= n, F.array(F.substring(source, 1, n)))))
+    for n in GRAMS:
+        if f"gram{n}" in kinds:
+            made.append(several(f"gram{n}", F.when(F.length(text) >= n, F.array_distinct(_runs(text, n)))))
+    if "length" in kinds:
+        made.append(several("length", F.when(F.length(text) > 0, F.array(_magnitude(F.length(text)).cast("string")))))
+    empty = F.array().cast("array<struct<kind:string,key:string>>")
+    listed = F.concat(empty, *[F.coalesce(m, empty) for m in made])
+    return words.select(*words.columns, F.inline(listed))
+
+
 def matched_terms(terms: DataFrame, words: DataFrame, keep: tuple[str, ...] = (), salts: int = SALTS) -> DataFrame:
     """Terms of ``words`` each wildcard query matches, with the columns in ``keep``.
 
-    An equi-join on a prefix of fixed length proposes the pairs and LIKE decides.
-    The longest key length that fits the pattern's literal prefix is used. The
-    salt splits a hot prefix, and patterns without a prefix.
+    An equi-join on a piece of text that every match must hold proposes the pairs and
+    LIKE decides. The salt splits a piece that very many terms hold.
     """
-    lengths = F.array(*[F.lit(n) for n in KEY_LENGTHS])
     spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    patterns = terms.where("wildcard").select(
+    patterns = pattern_keys(terms.where("wildcard").select("query_id", "field", "term").distinct())
+    # The kinds are a fixed handful.
+    kinds = [r["kind"] for r in patterns.select("kind").distinct().collect()]
+    patterns = patterns.select(
         "query_id",
         "field",
         like_pattern(F.col("term")).alias("pattern"),
         wildcard_regex(F.col("term")).alias("regex"),
         literal_prefix(F.col("term")).alias("prefix"),
+        F.col("term").alias("line"),
+        "kind",
+        "key",
+        spread,
     )
-    size = F.get(F.filter(lengths, lambda n: n <= F.length("prefix")), F.lit(0))
-    patterns = patterns.select(
-        "query_id", "field", "pattern", "regex", "prefix", size.alias("size"), F.substring(F.col("prefix"), F.lit(1), size).alias("key"), spread
-    )
-    keyed = words.select(
-        "field",
-        "term",
-        *keep,
-        F.pmod(F.xxhash64("term", *keep), F.lit(salts)).cast("int").alias("salt"),
-        F.explode(F.filter(lengths, lambda n: n <= F.length("term"))).alias("size"),
-    ).withColumn("key", F.substring(F.col("term"), F.lit(1), F.col("size")))
-    pairs = keyed.join(patterns, ["field", "size", "key", "salt"])
+    salt = F.pmod(F.xxhash64("term", *keep), F.lit(salts)).cast("int").alias("salt")
+    keyed = word_keys(words.select("field", "term", *keep, salt), kinds)
+    pairs = keyed.join(patterns, ["field", "kind", "key", "salt"])
     # The whole prefix is compared before a pattern is compiled.
     pairs = pairs.where(F.startswith(F.col("term"), F.col("prefix")))
-    return pairs.where(wildcard_match(F.col("term"), F.col("pattern"), F.col("regex"))).select("query_id", "field", "term", *keep)
+    matched = pairs.where(wildcard_match(F.col("term"), F.col("pattern"), F.col("regex")))
+    return matched.select("query_id", "field", "line", "term", *keep)
 
 
-def wildcard_hits(postings: DataFrame, terms: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Hits of wildcard terms. A document is reported once per query."""
-    matched = matched_terms(terms, vocabulary(of_fields(postings, terms.where("wildcard"))), salts=salts)
+def wildcard_hits(
+    postings: DataFrame, terms: DataFrame, salts: int = SALTS, words: DataFrame | None = None
+) -> DataFrame:
+    """Hits of wildcard terms. A document is reported once per query.
+
+    ``words`` are the distinct terms, if they are stored; they may be more.
+    """
+    known = vocabulary(of_fields(postings, terms.where("wildcard"))) if words is None else words
+    matched = matched_terms(terms, known, salts=salts).select("query_id", "field", "term").distinct()
     as_exact = matched.withColumn("wildcard", F.lit(False))
     return exact_hits(postings, as_exact, salts).distinct()
 
 
-def batch_search(postings: DataFrame, queries: DataFrame, catalog: Catalog, salts: int = SALTS) -> DataFrame:
-    """Hits of every query, exact and wildcard alike."""
+def batch_search(
+    postings: DataFrame, queries: DataFrame, catalog: Catalog, salts: int = SALTS, words: DataFrame | None = None
+) -> DataFrame:
+    """Hits of every query, exact and wildcard alike, each line for itself."""
     terms = query_terms(queries, catalog)
     exact = exact_hits(postings, terms, salts).distinct()
-    return exact.unionByName(wildcard_hits(postings, terms, salts))
+    return exact.unionByName(wildcard_hits(postings, terms, salts, words))
+
+
+def batch_and(
+    postings: DataFrame, queries: DataFrame, catalog: Catalog, salts: int = SALTS, words: DataFrame | None = None
+) -> DataFrame:
+    """Documents that meet all lines of a query: ``query_id, doc_id, source_table``.
+
+    Queries are rows ``query_id, field, value``, several of one ``query_id``. Lines
+    of which nothing remains are dropped, so the query widens, as a single search
+    does; equal lines count once. A line may match many terms and a field may stand in
+    several lines.
+
+    It is a division: a document is found when it meets as many distinct lines as the
+    query has. Hits of a line that half of all documents meet are never made per
+    query: each query's rarest line proposes its documents, and of those alone the
+    other lines are checked, by the terms the documents hold.
+    """
+    lines = query_terms(queries, catalog).select("query_id", "field", F.col("term").alias("line"), "wildcard").distinct()
+    asked = lines.withColumn("term", F.col("line"))
+    exact = asked.where(~F.col("wildcard")).select("query_id", "field", "line", "term")
+    known = vocabulary(of_fields(postings, asked.where("wildcard"))) if words is None else words
+    wanted = written(exact.unionByName(matched_terms(asked, known, salts=salts)), "batch-lines")
+
+    # Postings of some wanted term, each once, whatever the number of queries.
+    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    keys = wanted.select("field", "term").distinct().select("field", "term", spread)
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")
+    met = postings.select("field", "term", "doc_id", "source_table", salt).join(keys, ["field", "term", "salt"], "left_semi")
+    met = written(met.drop("salt"), "batch-postings")
+
+    counts = met.groupBy("field", "term").agg(F.count("*").alias("n"))
+    sizes = wanted.join(counts, ["field", "term"], "left").groupBy("query_id", "field", "line").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n")
+    )
+    # Lines that matched no term at all have no row among the wanted ones.
+    size = F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("field"), F.col("line"))
+    per_query = (
+        lines.join(sizes, ["query_id", "field", "line"], "left")
+        .groupBy("query_id")
+        .agg(F.count("*").alias("lines"), F.min(size).alias("rarest"))
+        .where("rarest.n > 0")
+    )
+    per_query = written(per_query, "batch-queries")
+    rarest = per_query.select("query_id", F.col("rarest.field").alias("field"), F.col("rarest.line").alias("line"))
+    first = wanted.join(rarest, ["query_id", "field", "line"]).withColumn("wildcard", F.lit(False))
+    candidates = written(exact_hits(met, first, salts).distinct(), "batch-candidates")
+
+    # What the candidates hold of all wanted terms, and which lines of their queries that meets.
+    ids = ["doc_id", "source_table"]
+    held = met.join(candidates.select(*ids).distinct(), ids, "left_semi").distinct()
+    checks = candidates.join(held, ids).join(wanted, ["query_id", "field", "term"])
+    found = checks.select("query_id", *ids, "field", "line").distinct().groupBy("query_id", *ids).agg(F.count("*").alias("met"))
+    return found.join(per_query.select("query_id", "lines"), "query_id").where("met = lines").select("query_id", *ids)

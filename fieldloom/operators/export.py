@@ -8,61 +8,62 @@ from pyspark.sql import functions as F
 from fieldloom.functions.texts import csv_cell
 
 
-def column_order(records: DataFrame) -> DataFrame:
+def column_order(records: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Per source the union of field names, in order of first appearance.
 
     Each name is reduced to its first place before names are gathered, so the
     gathered list is as long as the header line, whatever the number of records.
     """
-    cells = records.select("source_table", "seq", F.posexplode_outer(F.map_keys("fields")).alias("pos", "key"))
+    keys = [*by, "source_table"]
+    cells = records.select(*keys, "seq", F.posexplode_outer(F.map_keys("fields")).alias("pos", "key"))
     cells = cells.where(F.col("key").isNotNull())
-    firsts = cells.groupBy("source_table", "key").agg(F.min(F.struct("seq", "pos")).alias("place"))
-    return firsts.groupBy("source_table").agg(
+    firsts = cells.groupBy(*keys, "key").agg(F.min(F.struct("seq", "pos")).alias("place"))
+    return firsts.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("place", "key"))), lambda e: e["key"]).alias("columns")
     )
 
 
-def csv_lines(records: DataFrame, headers: DataFrame) -> DataFrame:
-    """CSV lines per source: ``source_table, part, seq, line``.
+def csv_lines(records: DataFrame, headers: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """CSV lines per source: ``source_table, part, seq, line``; with ``by`` an export per query.
 
     Part 0 is the title, 1 the info, 2 the column line and 3 the records.
     Records of sources without a header are left out.
     """
-    columns = column_order(records)
-    known = headers.select("source_table").distinct()
+    keys = [*by, "source_table"]
+    columns = column_order(records, by)
+    known = headers.select(*keys).distinct()
     cells = F.transform("columns", lambda k: csv_cell(F.col("fields")[k]))
     body = (
-        records.join(columns, "source_table")
-        .join(known, "source_table", "left_semi")
-        .select("source_table", F.lit(3).alias("part"), "seq", F.array_join(cells, ",").alias("line"))
+        records.join(columns, keys)
+        .join(known, keys, "left_semi")
+        .select(*keys, F.lit(3).alias("part"), "seq", F.array_join(cells, ",").alias("line"))
     )
-    names = columns.join(known, "source_table", "left_semi").select(
-        "source_table",
+    names = columns.join(known, keys, "left_semi").select(
+        *keys,
         F.lit(2).alias("part"),
         F.lit(0).cast("bigint").alias("seq"),
         F.array_join(F.transform("columns", csv_cell), ",").alias("line"),
     )
-    return _titles(headers, csv_cell).unionByName(names).unionByName(body)
+    return _titles(headers, csv_cell, keys).unionByName(names).unionByName(body)
 
 
-def text_lines(records: DataFrame, headers: DataFrame) -> DataFrame:
+def text_lines(records: DataFrame, headers: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Plain text per source: one ``key = value`` line per field."""
+    keys = [*by, "source_table"]
     pairs = F.transform(
         F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit(" = "), F.coalesce(e["value"], F.lit("")))
     )
-    known = headers.select("source_table").distinct()
-    body = records.join(known, "source_table", "left_semi").select(
-        "source_table", F.lit(3).alias("part"), "seq", F.concat(F.array_join(pairs, "\n"), F.lit("\n")).alias("line")
+    known = headers.select(*keys).distinct()
+    body = records.join(known, keys, "left_semi").select(
+        *keys, F.lit(3).alias("part"), "seq", F.concat(F.array_join(pairs, "\n"), F.lit("\n")).alias("line")
     )
-    return _titles(headers, lambda c: c).unionByName(body)
+    return _titles(headers, lambda c: c, keys).unionByName(body)
 
 
-def _titles(headers: DataFrame, cell) -> DataFrame:
+def _titles(headers: DataFrame, cell, keys: list[str]) -> DataFrame:
     zero = F.lit(0).cast("bigint").alias("seq")
-    title = headers.select(
-        "source_table", F.lit(0).alias("part"), zero, F.concat(F.lit("Source: "), cell(F.col("name"))).alias("line")
-    )
+    title = headers.select(*keys, F.lit(0).alias("part"), zero, F.concat(F.lit("Source: "), cell(F.col("name"))).alias("line"))
     info = headers.where(F.coalesce("info", F.lit("")) != "").select(
-        "source_table", F.lit(1).alias("part"), zero, cell(F.col("info")).alias("line")
+        *keys, F.lit(1).alias("part"), zero, cell(F.col("info")).alias("line")
     )
     return title.unionByName(info)

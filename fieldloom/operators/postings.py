@@ -21,25 +21,22 @@ COLUMNS = ("field", "shard", "term", "doc_id", "source_table", "row_id")
 ENTRIES = "array<struct<field:string,term:string>>"
 
 
-def postings(documents: DataFrame, catalog: Catalog) -> DataFrame:
-    """Postings of stored documents.
+def postings(documents: DataFrame, catalog: Catalog, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Postings of stored documents, with the document's columns in ``keep``.
 
     A field is found under the term of its valid value and under the fallback
     terms of its invalid one, each term once per document.
     """
+    ids = ["doc_id", "source_table", "row_id", *keep]
     valid, invalid = "_valid_{}".format, "_invalid_{}".format
     stripped = documents.select(
-        "doc_id",
-        "source_table",
-        "row_id",
+        *ids,
         *[strip(F.col("fields")[s.name]).alias(valid(s.name)) for s in catalog.indexed],
         *[strip(F.col("invalid_fields")[INVALID_PREFIX + s.name]).alias(invalid(s.name)) for s in catalog.indexed],
     )
     first, second = "_first_{}".format, "_second_{}".format
     termed = stripped.select(
-        "doc_id",
-        "source_table",
-        "row_id",
+        *ids,
         *[index_term(s, F.col(valid(s.name))).alias(first(s.name)) for s in catalog.indexed],
         *[_fallback(s, F.col(invalid(s.name))).alias(second(s.name)) for s in catalog.indexed],
     )
@@ -51,7 +48,7 @@ def postings(documents: DataFrame, catalog: Catalog) -> DataFrame:
             entries.append(_several(spec, F.coalesce(F.array_remove(other, one), other)))
         else:
             entries.append(_single(spec, F.when(~one.eqNullSafe(other), other)))
-    return _unfold(termed, entries, catalog)
+    return _unfold(termed, entries, catalog, keep)
 
 
 def record_postings(records: DataFrame, catalog: Catalog) -> DataFrame:
@@ -107,9 +104,10 @@ def _several(spec: FieldSpec, terms: Column) -> Column:
     return F.arrays_zip(F.array_repeat(F.lit(spec.name), F.size(found)), found).cast(ENTRIES)
 
 
-def _unfold(rows: DataFrame, entries: list[Column], catalog: Catalog) -> DataFrame:
-    listed = rows.select("doc_id", "source_table", "row_id", F.concat(*entries).alias("_entries"))
+def _unfold(rows: DataFrame, entries: list[Column], catalog: Catalog, keep: tuple[str, ...] = ()) -> DataFrame:
+    ids = ["doc_id", "source_table", "row_id", *keep]
+    listed = rows.select(*ids, F.concat(*entries).alias("_entries"))
     # The outer form: for the plain one Spark adds a "not empty" filter below,
     # which would compute the whole array a second time.
-    unfolded = listed.select("doc_id", "source_table", "row_id", F.inline_outer("_entries")).where(F.col("term") != "")
-    return with_shards(unfolded, catalog).select(*COLUMNS)
+    unfolded = listed.select(*ids, F.inline_outer("_entries")).where(F.col("term") != "")
+    return with_shards(unfolded, catalog).select(*COLUMNS, *keep)

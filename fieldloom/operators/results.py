@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -18,31 +16,29 @@ from fieldloom.operators.records import merged_fields
 
 DEFAULT_TYPE = "local-import"
 CHUNK_ITEMS = 200
+KEYS = ["doc_id", "source_table"]
 SUGGESTIONS = 24
 
 
 def fetch(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents of the given ids; the first one when an id is stored twice."""
-    return first_of_each(documents, ids)
+    """The documents of the given ids; the first one when an id is stored twice.
+
+    The documents are read once. Only rows found are moved, and copies of one id are
+    reduced before that, so a row copied very often stays one row per task.
+    """
+    return first_of_each(documents.join(ids.select(*KEYS), KEYS, "left_semi"))
 
 
-def first_of_each(documents: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """The first stored document per id, optionally for some ids only.
+def first_of_each(documents: DataFrame) -> DataFrame:
+    """The first stored document per id.
 
-    The first has the smallest number, of equal numbers the earliest import.
-    That is decided on narrow columns. Full rows are then picked by (id, source,
-    number, time), a key that also spreads many copies of one id; of copies that
-    agree in all of these one stays.
+    The first has the smallest number, of equal numbers the earliest import; of copies
+    that agree in both one stays.
     """
-    keys = ["doc_id", "source_table"]
-    order = ["seq", *[c for c in ("imported_at",) if c in documents.columns]]
-    narrow = documents.select(*keys, *order)
-    if ids is not None:
-        narrow = narrow.join(ids.select(*keys), keys, "left_semi")
-    firsts = narrow.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
-    firsts = firsts.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(f"_first.{c}").alias(f"_{c}") for c in order])
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, *order)])
-    return documents.join(firsts, same, "left_semi").dropDuplicates([*keys, *order])
+    order = F.struct("seq", *[c for c in ("imported_at",) if c in documents.columns])
+    rest = [c for c in documents.columns if c not in KEYS]
+    firsts = documents.groupBy(*KEYS).agg(F.min_by(F.struct(*rest), order).alias("_first"))
+    return firsts.select(*KEYS, "_first.*").select(*documents.columns)
 
 
 def result_records(documents: DataFrame) -> DataFrame:
@@ -67,11 +63,20 @@ def header_columns() -> list[Column]:
     ]
 
 
-def result_headers(records: DataFrame, sources: DataFrame) -> DataFrame:
-    """One header per source met in the results, with its record count."""
-    met = records.groupBy("source_table").agg(F.count("*").alias("records"))
+def result_headers(records: DataFrame, sources: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One header per source met in the results, with its record count; with ``by`` per query."""
+    met = records.groupBy(*by, "source_table").agg(F.count("*").alias("records"))
     joined = met.join(sources.drop("records"), "source_table", "left")
-    return joined.select("source_table", *header_columns(), "records")
+    return joined.select(*by, "source_table", *header_columns(), "records")
+
+
+def batch_records(documents: DataFrame, hits: DataFrame) -> DataFrame:
+    """Records of many queries' hits: ``query_id`` and the columns of ``result_records``.
+
+    A document is fetched once, however many queries found it.
+    """
+    found = result_records(fetch(documents, hits.select(*KEYS).distinct()))
+    return hits.select("query_id", *KEYS).join(found, KEYS).select("query_id", *found.columns)
 
 
 def result_stream(records: DataFrame, sources: DataFrame, chunk_items: int = CHUNK_ITEMS) -> DataFrame:

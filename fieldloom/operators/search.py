@@ -63,7 +63,8 @@ def resolve(spark: SparkSession, query: Mapping[str, str | None], catalog: Catal
                 shard_name(catalog[name], term).alias("shard"),
             ).alias(name)
         )
-    row = spark.range(1).select(*columns).first()
+    # Expressions over constants: Spark works them out while planning, without a job.
+    row = spark.sql("SELECT * FROM VALUES (0)").select(*columns).first()
     terms = [Term(name, **row[name].asDict()) for name in asked if row[name]["term"]]
     if strict and len(terms) < len(asked):
         return []
@@ -126,8 +127,8 @@ def matching_ids(
 def _narrowest(terms: list[Term], shard_stats: DataFrame) -> int | None:
     """The exact term with the smallest shard; shards without a count come last."""
     exact = [(i, t) for i, t in enumerate(terms) if not t.wildcard]
-    if not exact:
-        return None
+    if len(exact) < 2:
+        return exact[0][0] if exact else None
     wanted = reduce(or_, [(F.col("field") == t.field) & (F.col("shard") == t.shard) for _, t in exact])
     counts = {(r["field"], r["shard"]): r["n"] for r in shard_stats.where(wanted).collect()}
     known = [(counts[t.field, t.shard], i) for i, t in exact if (t.field, t.shard) in counts]

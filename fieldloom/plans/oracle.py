@@ -238,6 +238,42 @@ ORACLE["batch_mixed"] = on_base(
   ON p.field = q.field AND p.term LIKE q.pattern ESCAPE '\\'"""
 )
 
+ORACLE["batch_infix"] = on_base(
+    f"""SELECT DISTINCT q.query_id, p.{IDS.replace(', ', ', p.')} FROM post p JOIN (
+  SELECT min(p_partkey) + 1000000 AS query_id, 'label' AS field, '%' || upper(substr(p_name, 3, 3)) || '_%' AS pattern FROM part GROUP BY 3
+  UNION ALL SELECT min(p_partkey) + 2000000, 'brand', '_%' || substr(p_brand, 7, 1) || '%' FROM part GROUP BY 3
+  UNION ALL SELECT min(event_id) + 30000000, 'type', repeat('_', length(event_type)) FROM events GROUP BY 3) q
+  ON p.field = q.field AND p.term LIKE q.pattern"""
+)
+
+LINE_HITS = f""",
+lines AS (
+  SELECT c_custkey AS query_id, 'ref' AS field, {only_digits('c_name')} AS pattern FROM customer
+  UNION ALL SELECT c_custkey, 'status', 'F' FROM customer WHERE c_acctbal >= 0
+  UNION ALL SELECT c_custkey, 'order_date', '%.2001' FROM customer WHERE c_mktsegment = 'BUILDING'),
+refs AS (SELECT DISTINCT l.query_id, p.doc_id, p.source_table FROM lines l JOIN post p ON l.field = 'ref' AND p.field = 'ref' AND p.term = l.pattern),
+rest AS (SELECT r.*, l.field FROM refs r JOIN lines l USING (query_id) WHERE l.field <> 'ref' AND NOT EXISTS (
+  SELECT 1 FROM post p WHERE p.doc_id = r.doc_id AND p.field = l.field AND p.term LIKE l.pattern)),
+line_hits AS (SELECT * FROM refs ANTI JOIN rest USING (query_id, doc_id))"""
+ORACLE["batch_and"] = on_base("SELECT query_id, doc_id, source_table FROM line_hits", LINE_HITS)
+LINE_RECORDS = LINE_HITS + found("SELECT DISTINCT doc_id, source_table FROM line_hits")
+ORACLE["batch_records"] = on_base("SELECT query_id, r.* FROM line_hits JOIN recs r USING (doc_id, source_table)", LINE_RECORDS)
+ORACLE["batch_headers"] = on_base(
+    """SELECT query_id, h.source_table, h.name, h.info, h.type, l.records
+FROM (SELECT query_id, source_table, count(*) AS records FROM line_hits GROUP BY 1, 2) l JOIN heads h USING (source_table)""",
+    LINE_RECORDS,
+)
+
+ORACLE["search_during_build"] = on_base(
+    """SELECT h.*, step FROM hits h JOIN (VALUES ('wave 1 indexed', 1), ('wave 2 arrived', 1), ('wave 2 indexed', 2)) t(step, wave)
+  ON wave = 2 OR source_table IN ('customer', 'orders')""",
+    f", hits AS ({REF_HITS})",
+)
+ORACLE["index_upkeep"] = on_base(
+    """SELECT field, shard, count(*) AS n, count(*) AS found FROM post
+WHERE source_table <> 'orders' OR doc_id IN (SELECT 'orders:' || o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1, 2"""
+)
+
 ORACLE["shard_stats"] = on_base("SELECT field, shard, count(*) AS n FROM post GROUP BY 1, 2")
 ORACLE["staged_publish"] = ORACLE["shard_stats"]
 SHARDS = """,
@@ -454,3 +490,18 @@ UNION ALL SELECT source_table, 1, 0, info FROM heads
 UNION ALL SELECT source_table, 3, seq, string_agg(k || ' = ' || v, chr(10) ORDER BY bad, pos) || chr(10) FROM found GROUP BY source_table, doc_id, seq""",
     found(RANGE_HITS),
 )
+ORACLE["batch_export"] = on_base(
+    f"""SELECT value, source_table, 0 AS part, 0 AS seq, 'Source: ' || {CELL.format('name')} AS line FROM asked_heads
+UNION ALL SELECT value, source_table, 1, 0, {CELL.format('info')} FROM asked_heads
+UNION ALL SELECT value, source_table, 2, 0, string_agg({CELL.format('k')}, ',' ORDER BY place) FROM cols GROUP BY 1, 2
+UNION ALL SELECT a.value, a.source_table, 3, r.seq, string_agg(coalesce({CELL.format('f.v')}, ''), ',' ORDER BY c.place)
+  FROM asked a JOIN recs r USING (doc_id, source_table) JOIN cols c USING (value, source_table)
+  LEFT JOIN found f ON f.doc_id = r.doc_id AND f.k = c.k GROUP BY a.value, a.source_table, r.doc_id, r.seq""",
+    f""",
+asked AS (SELECT DISTINCT s_name AS value, doc_id, source_table FROM post JOIN supplier ON field = 'ref' AND term = {only_digits('s_name')})"""
+    + found("SELECT DISTINCT doc_id, source_table FROM asked")
+    + """,
+asked_heads AS (SELECT DISTINCT value, h.* FROM asked JOIN heads h USING (source_table)),
+places AS (SELECT source_table, doc_id, seq, k, row_number() OVER (PARTITION BY doc_id ORDER BY bad, pos) AS nth FROM found),
+cols AS (SELECT value, source_table, k, min((seq, nth)) AS place FROM places JOIN asked USING (doc_id, source_table) GROUP BY 1, 2, 3)""",
+)

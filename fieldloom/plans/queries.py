@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from fieldloom.operators.postings import postings
 from fieldloom.operators.records import documents, route, route_sides, shape_names
 from fieldloom.operators.search import matching_ids, resolve
 from fieldloom.session import shared_dir, written
-from fieldloom.sources import json_folder
+from fieldloom.sources import json_folder, sinks
 from fieldloom.sources.tables import (
     SOURCE_FIELDS,
     SOURCES,
@@ -176,9 +177,108 @@ def batch_mixed(spark, sf_dir):
     return batch.batch_search(table_postings(spark, sf_dir, {"ref", "label", "type"}), queries, TABLE_CATALOG)
 
 
+def infix_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns that begin and end with a wildcard, or hold nothing else."""
+    part = table(spark, sf_dir, "part")
+    inner = part.groupBy(F.concat(F.lit("%"), F.substring("p_name", 3, 3), F.lit("?%")).alias("value")).agg(F.min("p_partkey").alias("query_id"))
+    short = part.groupBy(F.concat(F.lit("?%"), F.substring("p_brand", 7, 1), F.lit("%")).alias("value")).agg(F.min("p_partkey").alias("query_id"))
+    kinds = table(spark, sf_dir, "events").groupBy(F.regexp_replace("event_type", ".", "?").alias("value")).agg(F.min("event_id").alias("query_id"))
+    return (
+        inner.select((F.col("query_id") + 1_000_000).alias("query_id"), F.lit("label").alias("field"), "value")
+        .unionByName(short.select((F.col("query_id") + 2_000_000).alias("query_id"), F.lit("brand").alias("field"), "value"))
+        .unionByName(kinds.select((F.col("query_id") + 30_000_000).alias("query_id"), F.lit("type").alias("field"), "value"))
+    )
+
+
+@query
+def batch_infix(spark, sf_dir):
+    """Patterns without a literal beginning, joined by what stands inside or by length."""
+    terms = batch.query_terms(infix_queries(spark, sf_dir), TABLE_CATALOG)
+    return batch.wildcard_hits(table_postings(spark, sf_dir, {"label", "brand", "type"}), terms)
+
+
+def line_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries of one to three lines, one per customer."""
+    customer = table(spark, sf_dir, "customer")
+    number = F.col("c_custkey").alias("query_id")
+    names = customer.select(number, F.lit("ref").alias("field"), F.col("c_name").alias("value"))
+    done = customer.where("c_acctbal >= 0").select(number, F.lit("status").alias("field"), F.lit("F").alias("value"))
+    years = customer.where("c_mktsegment = 'BUILDING'").select(number, F.lit("order_date").alias("field"), F.lit("%.2001").alias("value"))
+    return names.unionByName(done).unionByName(years)
+
+
+def line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table_postings(spark, sf_dir, {"ref", "status", "order_date"})
+    return batch.batch_and(asked, line_queries(spark, sf_dir), TABLE_CATALOG)
+
+
+@query
+def batch_and(spark, sf_dir):
+    """Documents that meet every line of a query."""
+    return line_hits(spark, sf_dir)
+
+
+@query
+def batch_records(spark, sf_dir):
+    """Full records per query; a document that many queries find is fetched once."""
+    stored = documents(all_records(spark, sf_dir), TABLE_CATALOG)
+    found = results.batch_records(stored, line_hits(spark, sf_dir))
+    return found.select("query_id", "doc_id", "source_table", "seq", map_text(F.col("fields")).alias("fields"))
+
+
+@query
+def batch_headers(spark, sf_dir):
+    """Per query the sources met, with their records."""
+    stored = documents(all_records(spark, sf_dir), TABLE_CATALOG)
+    found = results.batch_records(stored, line_hits(spark, sf_dir))
+    return results.result_headers(found, source_rows(spark, sf_dir), by=("query_id",))
+
+
+@query
+def batch_export(spark, sf_dir):
+    """A list of values in a text file, one search per line, one export per search."""
+    folder = shared_dir(spark, "query-list")
+    table(spark, sf_dir, "supplier").select(F.concat(F.lit("  "), "s_name")).write.text(folder)
+    asked = written(json_folder.read_queries(spark, folder, "ref"), "query-list-rows")
+    store = documents(all_records(spark, sf_dir), TABLE_CATALOG)
+    hits = batch.batch_and(table_postings(spark, sf_dir, {"ref"}), asked, TABLE_CATALOG)
+    found = written(results.batch_records(store, hits), "batch-export")
+    headers = results.result_headers(found, source_rows(spark, sf_dir), by=("query_id",))
+    lines = export.csv_lines(found, headers, by=("query_id",))
+    return lines.join(asked.select("query_id", F.trim("value").alias("value")), "query_id").drop("query_id")
+
+
 # -- index --------------------------------------------------------------------
 
 
+@query
+def search_during_build(spark, sf_dir):
+    """What a search finds while documents arrive in waves and a stream takes them up."""
+    store = RecordStore(spark, shared_dir(spark, "waves"), TABLE_CATALOG)
+    checkpoint = shared_dir(spark, "waves-checkpoint")
+    steps = []
+    for number, names in enumerate((["customer", "orders"], ["supplier", "part", "events", "documents"]), 1):
+        store.append(all_records(spark, sf_dir, names))
+        steps.append(written(store.find(REF).withColumn("step", F.lit(f"wave {number} arrived")), "wave"))
+        store.index_stream(checkpoint).awaitTermination()
+        steps.append(written(store.find(REF).withColumn("step", F.lit(f"wave {number} indexed")), "wave"))
+    return reduce(DataFrame.unionByName, steps)
+
+
+@query
+def index_upkeep(spark, sf_dir):
+    """Counts kept over several runs, a replaced source and merged parts, beside what readers count."""
+    store = RecordStore(spark, shared_dir(spark, "upkeep"), TABLE_CATALOG)
+    for names in (["customer", "supplier", "part"], ["orders"], ["events", "documents"]):
+        store.append(all_records(spark, sf_dir, names))
+        store.build_index(fan=3)
+    kept = all_records(spark, sf_dir, ["orders"]).where(F.col("raw")["status"] == "F")
+    sinks.replace_sources(documents(kept, TABLE_CATALOG), f"{store.root}/documents")
+    store.build_index(on_change="replace", fan=3)
+    read = profile.shard_stats(store.postings).withColumnRenamed("n", "found")
+    return store.shard_stats.join(read, ["field", "shard"], "full_outer")
+
+
 @query
 def staged_publish(spark, sf_dir):
     """Shard counts of a store of all sources, after a staged and published run."""

@@ -21,9 +21,9 @@ def standing_hits(arriving: DataFrame, queries: DataFrame, catalog: Catalog) ->
 def standing_wildcard_hits(arriving: DataFrame, queries: DataFrame, catalog: Catalog) -> DataFrame:
     """Hits of standing wildcard queries, one row per matching term.
 
-    Patterns meet postings by equal literal prefixes, as in a batch search. A
-    document whose terms match twice is reported with both terms, so no state
-    is needed to tell repeats apart.
+    Patterns meet postings by a piece of text that every match holds, as in a batch
+    search. A document whose terms match twice is reported with both terms, so no
+    state is needed to tell repeats apart.
     """
     patterns = query_terms(queries, catalog).where("wildcard")
     hits = matched_terms(patterns, arriving, keep=("doc_id", "source_table"))
