@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions.blanks import strip
 from fieldloom.functions.texts import sheet_base_name
 from fieldloom.operators.positions import block_of, running_totals
+from fieldloom.session import written
 
 NAME_LENGTH = 120
 SHEET_LENGTH = 31
@@ -39,7 +40,8 @@ def unique_source_names(files: DataFrame, existing: DataFrame, order: list[str],
     placed = placed.join(taken, "base", "left")
     placed = placed.withColumn("nth", F.col("earlier") + F.coalesce("exists", F.lit(0)) - 1).withColumn("stem", F.col("base"))
     names = based.select("base").unionByName(taken.select("base")).distinct()
-    numbered = _free_numbers(placed, names, start=2, stem_length=None)
+    # What several later steps ask of the placed files is worked out once.
+    numbered = _free_numbers(written(placed, "placed-names"), names, start=2, stem_length=None)
     name = F.when(F.col("nth") < 0, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("number").cast("string")))
     return numbered.select(*files.columns, name.alias("source_table"))
 
@@ -56,7 +58,8 @@ def unique_sheet_names(groups: DataFrame, name: str, order: list[str], block: Co
     placed = placed.withColumn("stem", F.substring("base", 1, SHEET_STEM))
     placed = running_totals(placed, by=["stem"], order=order, totals={"nth": repeat}, block=F.col("_block"))
     placed = placed.withColumn("nth", F.when(F.col("earlier") > 0, F.col("nth")).otherwise(-1))
-    numbered = _free_numbers(placed, based.select("base").distinct(), start=1, stem_length=SHEET_STEM)
+    placed = written(placed, "placed-sheets")
+    numbered = _free_numbers(placed, placed.select("base").distinct(), start=1, stem_length=SHEET_STEM)
     suffix = F.concat(F.lit("_"), F.col("number").cast("string"))
     cut = F.substring(F.col("base"), F.lit(1), F.lit(SHEET_LENGTH) - F.length(suffix))
     sheet = F.when(F.col("nth") < 0, F.col("base")).otherwise(F.concat(cut, suffix))
@@ -78,9 +81,11 @@ def _free_numbers(placed: DataFrame, names: DataFrame, start: int, stem_length:
     )
     used = used.where(F.col("used") >= start).distinct()
     used = used.join(placed.where("nth >= 0").select("stem").distinct(), "stem", "left_semi")
+    used = written(used, "used-numbers")
     ranked = running_totals(used, by=["stem"], order=["used"], totals={"below": F.lit(1)}, block=block_of(F.col("used")))
     passed = ranked.select("stem", (F.col("used") - start - F.col("below")).alias("at"), F.lit(1).alias("step"), "used")
     asking = placed.where("nth >= 0").select("stem", F.col("nth").alias("at")).distinct()
+    passed = written(passed, "passed-numbers")
     asking = asking.select("stem", "at", F.lit(0).alias("step"), F.lit(-1).cast("bigint").alias("used"))
     line = running_totals(
         passed.unionByName(asking).withColumn("turn", 1 - F.col("step")),

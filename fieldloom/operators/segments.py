@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldloom.operators.positions import block_of, running_totals
+from fieldloom.session import written
 
 SEGMENT_BYTES = 1024**3
+#: Bytes of a file whose lines are ordered in one task.
+STRETCH_BYTES = 64 << 20
 
 
 def line_bytes(line: Column) -> Column:
@@ -28,46 +31,71 @@ def byte_offsets(lines: DataFrame, line: str = "line") -> DataFrame:
     return located.withColumn("byte_length", F.octet_length(line).cast("bigint"))
 
 
+def _next_starts(located: DataFrame, limit: int) -> DataFrame:
+    """Where the next segment starts if one starts at a line: ``file_name, seq, next``.
+
+    A segment that starts at a line is full at its offset plus the limit, or behind that line
+    if it is longer. The next one starts with the line that holds this byte; a line
+    whose segment reaches the end of the file has no row. Lines and full marks
+    of one stretch of the file are ordered together; only the last line of each
+    stretch is handed on to the stretches after it.
+    """
+    stretch = min(limit, STRETCH_BYTES)
+    end = F.col("offset") + F.col("bytes")
+    line = F.struct("offset", "seq", end.alias("end"))
+    full = F.greatest(F.col("offset") + limit, end)
+    lines = located.select("file_name", F.col("offset").alias("pos"), line.alias("line"), F.lit(None).cast("bigint").alias("seq"))
+    asks = located.select("file_name", full.alias("pos"), F.lit(None).cast(lines.schema["line"].dataType).alias("line"), "seq")
+    events = lines.unionByName(asks).withColumn("block", F.floor(F.col("pos") / stretch).cast("bigint"))
+
+    blocks = events.groupBy("file_name", "block").agg(F.max("line").alias("last"))
+    earlier = Window.partitionBy("file_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file_name", "block", F.max("last").over(earlier).alias("carried"))
+    within = Window.partitionBy("file_name", "block").orderBy("pos", F.col("seq").isNotNull())
+    within = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = events.withColumn("met", F.last("line", ignorenulls=True).over(within)).where(F.col("seq").isNotNull())
+    found = met.join(blocks, ["file_name", "block"]).withColumn("met", F.coalesce("met", "carried"))
+    return found.where(F.col("met.end") > F.col("pos")).select("file_name", "seq", F.col("met.seq").alias("next"))
+
+
+def segment_starts(located: DataFrame, limit: int) -> DataFrame:
+    """The lines at which segments start: ``file_name, seq``.
+
+    Each line knows the start of the next segment should one start there. These
+    pointers are doubled: from the starts known so far, pointers over 1, 2, 4 ...
+    segments lead to all the others, in as many rounds as the logarithm of the
+    longest file's segments. Lines too near to the end for a pointer drop out.
+    """
+    starts = written(located.where("offset = 0").select("file_name", "seq"), "segment-starts")
+    pointers = written(_next_starts(located, limit), "segment-pointers")
+    while not (moved := starts.join(pointers, ["file_name", "seq"])).isEmpty():
+        starts = written(starts.unionByName(moved.select("file_name", F.col("next").alias("seq"))), "segment-starts")
+        onwards = pointers.select("file_name", F.col("seq").alias("next"), F.col("next").alias("_after"))
+        doubled = pointers.join(onwards, ["file_name", "next"]).select("file_name", "seq", F.col("_after").alias("next"))
+        pointers = written(doubled, "segment-pointers")
+    return starts
+
+
 def segment_plan(lines: DataFrame, limit: int = SEGMENT_BYTES, line: str = "line") -> DataFrame:
-    """Assign every line to a segment of at most ``limit`` bytes, in file order.
-
-    Packing "until full" needs each segment's end to find the next one's start,
-    which is one task per file. The rule here needs only totals: lines over half
-    the limit stand alone, and the other lines are cut at every multiple of
-    ``limit - longest small line`` bytes of the file. A cut holds at most that
-    many bytes plus one line, so the limit is kept; only a single line longer
-    than the limit exceeds it.
+    """Assign every line to a segment, in file order and "until full".
+
+    A line that would take its segment over ``limit`` bytes starts the next one; only
+    a single line longer than the limit exceeds it. Rows are ``file_name, seq``
+    (unique in a file) and the line. No task sees a whole file.
     """
-    size = line_bytes(F.col(line))
-    large = size > limit / 2
-    rows = lines.select("file_name", "seq", size.alias("bytes"), large.cast("int").alias("large"))
+    rows = lines.select("file_name", "seq", line_bytes(F.col(line)).alias("bytes"))
     located = running_totals(
-        rows,
-        by=["file_name"],
-        order=["seq"],
-        totals={"offset": F.col("bytes"), "large_before": F.col("large")},
-        block=block_of(F.col("seq")),
-    )
-    widths = rows.groupBy("file_name").agg(
-        (F.lit(limit) - F.coalesce(F.max(F.when(F.col("large") == 0, F.col("bytes"))), F.lit(0))).alias("width")
-    )
-    # Along a file (stretch, cut) never decreases and names the segment.
-    keyed = located.join(widths, "file_name").select(
-        "file_name",
-        "seq",
-        "bytes",
-        (F.col("large_before") * 2 + F.col("large")).alias("stretch"),
-        F.when(F.col("large") == 1, F.lit(0)).otherwise(F.expr("offset div width")).alias("cut"),
-    )
-    ordered = Window.partitionBy("file_name").orderBy("stretch", "cut")
-    segments = (
-        keyed.groupBy("file_name", "stretch", "cut")
-        .agg(F.count("*").alias("lines"), F.sum("bytes").alias("segment_bytes"))
-        .withColumn("segment", F.row_number().over(ordered).cast("bigint"))
+        rows, by=["file_name"], order=["seq"], totals={"offset": F.col("bytes")}, block=block_of(F.col("seq"))
     )
-    return keyed.join(segments, ["file_name", "stretch", "cut"]).select(
-        "file_name", "seq", "bytes", "segment", "segment_bytes"
+    located = written(located, "located-lines")
+    starts = segment_starts(located, limit).withColumn("start", F.lit(1))
+    marked = located.join(starts, ["file_name", "seq"], "left").withColumn("start", F.coalesce("start", F.lit(0)))
+    numbered = running_totals(
+        marked, by=["file_name"], order=["seq"], totals={"before": F.col("start")}, block=block_of(F.col("seq"))
     )
+    planned = numbered.select("file_name", "seq", "bytes", (F.col("before") + F.col("start")).alias("segment"))
+    sizes = planned.groupBy("file_name", "segment").agg(F.sum("bytes").alias("segment_bytes"))
+    return planned.join(sizes, ["file_name", "segment"]).select("file_name", "seq", "bytes", "segment", "segment_bytes")
 
 
 def segment_names(file_name: Column, segment: Column) -> Column:

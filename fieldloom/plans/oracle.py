@@ -379,16 +379,16 @@ SELECT file_name, seq, (sum(size + 1) OVER (PARTITION BY file_name ORDER BY seq)
   SELECT 'orders_' || o_orderstatus || '.jsonl' AS file_name, o_orderkey AS seq,
     strlen('{"id": ' || o_orderkey || ', "priority": "' || o_orderpriority || '"}') AS size FROM orders)"""
 ORACLE["segment_plan"] = """
-WITH sized AS (SELECT lang || '.jsonl' AS file_name, doc_id AS seq, strlen(text) + 1 AS bytes FROM documents),
-large AS (SELECT *, (bytes > 20000)::INT AS big FROM sized),
-located AS (SELECT *,
-  sum(bytes) OVER w - bytes AS pos, sum(big) OVER w - big AS before,
-  40000 - coalesce(max(bytes) FILTER (big = 0) OVER (PARTITION BY file_name), 0) AS width
-  FROM large WINDOW w AS (PARTITION BY file_name ORDER BY seq)),
-keyed AS (SELECT *, before * 2 + big AS stretch, CASE WHEN big = 1 THEN 0 ELSE pos // width END AS cut FROM located),
-ranked AS (SELECT *, dense_rank() OVER (PARTITION BY file_name ORDER BY stretch, cut) AS segment FROM keyed)
+WITH RECURSIVE sized AS (SELECT lang || '.jsonl' AS file_name, doc_id AS seq, strlen(text) + 1 AS bytes,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS nth FROM documents),
+packed AS (
+  SELECT file_name, seq, bytes, nth, 1::BIGINT AS segment, bytes AS used FROM sized WHERE nth = 1
+  UNION ALL
+  SELECT s.file_name, s.seq, s.bytes, s.nth, p.segment + CASE WHEN p.used + s.bytes > 40000 THEN 1 ELSE 0 END,
+    CASE WHEN p.used + s.bytes > 40000 THEN s.bytes ELSE p.used + s.bytes END
+  FROM packed p JOIN sized s ON s.file_name = p.file_name AND s.nth = p.nth + 1)
 SELECT file_name, seq, bytes, segment, (sum(bytes) OVER (PARTITION BY file_name, segment))::BIGINT AS segment_bytes,
-  replace(file_name, '.jsonl', '') || '_part_' || lpad(segment::VARCHAR, 4, '0') || '.jsonl' AS part_name FROM ranked"""
+  replace(file_name, '.jsonl', '') || '_part_' || lpad(segment::VARCHAR, 4, '0') || '.jsonl' AS part_name FROM packed"""
 MANIFESTS = """feeds AS (SELECT c_name || '.jsonl' AS file_name, * FROM orders JOIN customer ON o_custkey = c_custkey),
 old AS (SELECT file_name, sum(strlen(o_orderpriority))::BIGINT AS size, max(o_orderdate) AS mtime FROM feeds
   WHERE o_orderdate < TIMESTAMP '2001-06-01' GROUP BY 1),

@@ -61,7 +61,7 @@ def found_records(spark: SparkSession, sf_dir: str, asked: dict[str, str]) -> Da
     """Full records of a query's matches."""
     used = {t.field for t in resolve(spark, asked, TABLE_CATALOG)}
     names = [name for name, carried in SOURCE_FIELDS.items() if used <= carried]
-    stored = documents(all_records(spark, sf_dir, names), TABLE_CATALOG)
+    stored = documents(all_records(spark, sf_dir, names), TABLE_CATALOG).drop("raw")
     return results.result_records(results.fetch(stored, find(spark, sf_dir, asked)))
 
 
@@ -221,7 +221,7 @@ def batch_and(spark, sf_dir):
 @query
 def batch_records(spark, sf_dir):
     """Full records per query; a document that many queries find is fetched once."""
-    stored = documents(all_records(spark, sf_dir), TABLE_CATALOG)
+    stored = documents(all_records(spark, sf_dir), TABLE_CATALOG).drop("raw")
     found = results.batch_records(stored, line_hits(spark, sf_dir))
     return found.select("query_id", "doc_id", "source_table", "seq", map_text(F.col("fields")).alias("fields"))
 
@@ -229,7 +229,7 @@ def batch_records(spark, sf_dir):
 @query
 def batch_headers(spark, sf_dir):
     """Per query the sources met, with their records."""
-    stored = documents(all_records(spark, sf_dir), TABLE_CATALOG)
+    stored = documents(all_records(spark, sf_dir), TABLE_CATALOG).drop("raw")
     found = results.batch_records(stored, line_hits(spark, sf_dir))
     return results.result_headers(found, source_rows(spark, sf_dir), by=("query_id",))
 
@@ -240,7 +240,7 @@ def batch_export(spark, sf_dir):
     folder = shared_dir(spark, "query-list")
     table(spark, sf_dir, "supplier").select(F.concat(F.lit("  "), "s_name")).write.text(folder)
     asked = written(json_folder.read_queries(spark, folder, "ref"), "query-list-rows")
-    store = documents(all_records(spark, sf_dir), TABLE_CATALOG)
+    store = documents(all_records(spark, sf_dir), TABLE_CATALOG).drop("raw")
     hits = batch.batch_and(table_postings(spark, sf_dir, {"ref"}), asked, TABLE_CATALOG)
     found = written(results.batch_records(store, hits), "batch-export")
     headers = results.result_headers(found, source_rows(spark, sf_dir), by=("query_id",))

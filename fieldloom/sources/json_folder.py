@@ -1,9 +1,10 @@
 """JSON folders in any of four layouts to raw records.
 
 A file holds an array of objects, one object, one object per line, or objects
-one after another. Files are read whole; line-oriented files of any size go
-through :func:`read_json_lines`, which splits them. A caller may set limits on
-the number and size of files; by default there are none.
+one after another. Files of up to one split are read whole. Larger ones are read line by
+line in splits; only those that turn out to hold something other than an object per
+line are then read whole. A caller may set limits on the number and size of files; by
+default there are none.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.blanks import BLANK_CLASS, strip
 from fieldloom.operators.positions import running_totals
+from fieldloom.session import written
 
 JSON_GLOB = "*.[jJ][sS][oO][nN]"
 RECORDS = "array<map<string,string>>"
@@ -52,29 +54,39 @@ def read_whole_files(spark: SparkSession, folder: str, glob: str = JSON_GLOB) ->
     )
 
 
-def _whole(array: Column) -> Column:
-    """The records of a text that is one JSON array and nothing else, or null.
+def _with_parsed(rows: DataFrame, array: Column, out: str) -> DataFrame:
+    """Add the records of a text that is one JSON array and nothing else, or null.
 
     Spark's parser stops after the first root value. So the text is followed by
     an element with its own digest, which no text can hold, and both must be
-    there: then nothing closed the array early and nothing came after it.
+    there: then nothing closed the array early and nothing came after it. Text, digest
+    and parsed value are columns of their own stage, so a text is parsed once.
     """
-    seal = F.md5(array.cast("binary"))
-    parsed = F.from_json(F.concat(F.lit("["), array, F.lit(',[{"seal":"'), seal, F.lit('"}]]')), CLOSED)
-    sealed = (F.size(parsed) == 2) & F.coalesce(F.get(F.get(parsed, 1), 0)["seal"] == seal, F.lit(False))
-    return F.when(sealed, F.get(parsed, 0))
+    sealed = rows.withColumn("_array", array).withColumn("_seal", F.md5(F.col("_array").cast("binary")))
+    closed = F.concat(F.lit("["), "_array", F.lit(',[{"seal":"'), "_seal", F.lit('"}]]'))
+    parsed = sealed.withColumn("_parsed", F.from_json(closed, CLOSED))
+    there = F.coalesce(F.get(F.get("_parsed", 1), 0)["seal"] == F.col("_seal"), F.lit(False))
+    whole = F.when((F.size("_parsed") == 2) & there, F.get("_parsed", 0))
+    return parsed.withColumn(out, whole).drop("_array", "_seal", "_parsed")
 
 
-def parse_records(content: Column) -> Column:
-    """The records of a file's text, null when it cannot be read.
+def parsed_files(files: DataFrame) -> DataFrame:
+    """Files with a ``content`` column, and their records in ``_records``: null when unreadable.
 
-    Plain JSON is tried first. Only when that fails are adjoining objects
-    separated, so braces inside text values survive in well-formed files.
+    Plain JSON is tried first, then objects on lines of their own: a JSON text holds no line
+    break, so braces inside text values survive in both. Only then are
+    objects separated wherever they adjoin.
     """
-    text = strip(content)
+    texts = files.withColumn("_text", strip(F.col("content")))
+    text, none = F.col("_text"), F.col("_plain").isNull()
     enclosed = F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
-    separated = F.concat(F.lit("["), F.regexp_replace(text, r"\}" + BLANK_CLASS + r"*\{", "},{"), F.lit("]"))
-    return F.when(text == "", F.array().cast(RECORDS)).otherwise(F.coalesce(_whole(enclosed), _whole(separated)))
+    rows = _with_parsed(texts, enclosed, "_plain")
+    for name, between in (("_lines", f"{BLANK_CLASS}*\\n{BLANK_CLASS}*"), ("_joined", f"{BLANK_CLASS}*")):
+        separated = F.concat(F.lit("["), F.regexp_replace(text, r"\}" + between + r"\{", "},{"), F.lit("]"))
+        rows = _with_parsed(rows, F.when(none & (text != ""), separated), name)
+        none = none & F.col(name).isNull()
+    records = F.when(text == "", F.array().cast(RECORDS)).otherwise(F.coalesce("_plain", "_lines", "_joined"))
+    return rows.withColumn("_records", records).drop("_text", "_plain", "_lines", "_joined")
 
 
 def last_entry_wins(raw: Column) -> Column:
@@ -92,7 +104,7 @@ def records_of(files: DataFrame, keep: list[str]) -> DataFrame:
     ``seq`` counts from 1 in each file. A file that cannot be read fails the
     job; :func:`unreadable` lists such files beforehand.
     """
-    parsed = files.select(*keep, parse_records(F.col("content")).alias("_records"))
+    parsed = parsed_files(files.select(*keep, "content"))
     checked = F.coalesce("_records", F.raise_error(F.lit("a file is not readable as JSON records")).cast(RECORDS))
     # The outer form keeps Spark from parsing twice to test for empty files.
     rows = parsed.select(*keep, F.posexplode_outer(checked).alias("pos", "raw")).where(F.col("pos").isNotNull())
@@ -100,35 +112,72 @@ def records_of(files: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def unreadable(files: DataFrame) -> DataFrame:
-    return files.where(parse_records(F.col("content")).isNull()).select("file_name")
+    return parsed_files(files).where(F.col("_records").isNull()).select("file_name")
 
 
-def read_records(spark: SparkSession, folder: str, glob: str = JSON_GLOB) -> DataFrame:
-    """``file_name, seq, raw`` of a folder of JSON files."""
-    return records_of(read_whole_files(spark, folder, glob), ["file_name"])
+def read_records(
+    spark: SparkSession,
+    folder: str,
+    glob: str = JSON_GLOB,
+    named: DataFrame | None = None,
+    split_bytes: int | None = None,
+) -> DataFrame:
+    """``file_name, seq, raw`` of a folder of JSON files of any layout.
 
-
-def read_json_lines(spark: SparkSession, folder: str, glob: str = "*", quarantine: bool = False) -> DataFrame:
-    """``file_name, seq, raw`` of line-oriented files, which Spark may split.
-
-    Blank lines are skipped. A malformed line fails the job, or with
-    ``quarantine`` stays in the result with its text in ``broken`` and no record.
-    Lines are numbered by block position in their file: no file is read as one.
+    ``named`` has ``file_name`` and columns to add; files it leaves out are not read.
+    A file over ``split_bytes`` (by default what Spark puts into one split) is read by
+    several tasks when each of its lines is an object.
     """
+    if split_bytes is None:
+        split_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    keep = ["file_name"] if named is None else named.columns
+
+    def wanted(rows: DataFrame) -> DataFrame:
+        return rows if named is None else rows.join(named, "file_name")
+
+    whole, large = read_whole_files(spark, folder, glob), F.col("size") > split_bytes
+    records = records_of(wanted(whole.where(~large)), keep)
+    if list_files(spark, folder, glob).where(large).isEmpty():
+        return records
+    lines = written(_parsed_lines(spark, folder, glob).where(large).drop("line"), "parsed-lines")
+    others = lines.where(F.col("raw").isNull()).select("file_name").distinct()
+    by_line = _numbered(lines.join(others, "file_name", "left_anti"))
+    by_line = wanted(by_line).select(*keep, "seq", last_entry_wins(F.col("raw")).alias("raw"))
+    rest = records_of(wanted(whole.where(large).join(others, "file_name", "left_semi")), keep)
+    return records.unionByName(by_line).unionByName(rest)
+
+
+def _parsed_lines(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+    """Lines with their file, place and record; ``raw`` is null where a line is no object."""
     lines = spark.read.option("pathGlobFilter", glob).text(folder)
-    parsed = lines.where(strip(F.col("value")) != "").select(
+    placed = lines.where(strip(F.col("value")) != "").select(
         F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_size").alias("size"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("place"),
-        _whole(F.concat(F.lit("["), "value", F.lit("]"))).alias("records"),
         F.col("value").alias("line"),
     )
-    one = F.when(F.size("records") == 1, F.get("records", 0))
-    parsed = parsed.select("file_name", "start", "place", one.alias("raw"), "line")
+    parsed = _with_parsed(placed, F.concat(F.lit("["), "line", F.lit("]")), "_records")
+    one = F.when(F.size("_records") == 1, F.get("_records", 0))
+    return parsed.withColumn("raw", one).drop("_records")
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Lines with ``seq``, counted by position in their file: no file is read as one."""
     numbered = running_totals(
-        parsed, by=["file_name"], order=["start", "place"], totals={"earlier": F.lit(1)}, block=F.col("start")
+        lines, by=["file_name"], order=["start", "place"], totals={"earlier": F.lit(1)}, block=F.col("start")
     )
-    out = ["file_name", (F.col("earlier") + 1).alias("seq")]
+    return numbered.withColumn("seq", F.col("earlier") + 1)
+
+
+def read_json_lines(spark: SparkSession, folder: str, glob: str = "*", quarantine: bool = False) -> DataFrame:
+    """``file_name, seq, raw`` of line-oriented files, which Spark may split.
+
+    Blank lines are skipped. A malformed line fails the job, or with
+    ``quarantine`` stays in the result with its text in ``broken`` and no record.
+    """
+    numbered = _numbered(_parsed_lines(spark, folder, glob))
+    out = ["file_name", "seq"]
     broken = F.col("raw").isNull()
     if quarantine:
         return numbered.select(*out, last_entry_wins(F.col("raw")).alias("raw"), F.when(broken, F.col("line")).alias("broken"))

@@ -173,9 +173,11 @@ class RecordStore:
         default_type: str = "",
         max_files: int | None = None,
         max_bytes: int | None = None,
+        split_bytes: int | None = None,
     ) -> DataFrame:
         """Import a folder of JSON files; returns the new source rows.
 
+        Line files over ``split_bytes`` (one Spark split) are read by several tasks.
         Files over a caller's limit stop the import before anything is written.
         The names taken are noted first and the source rows written last. So an
         import that was lost half-way can be repeated: it takes the same names,
@@ -193,8 +195,7 @@ class RecordStore:
         named = naming.unique_source_names(files.select("file_name"), taken, ["file_name"], F.ascii("file_name"))
         named = written(named, "names")
         named.select("source_table").write.mode("append").parquet(f"{self.root}/imports")
-        whole = json_folder.read_whole_files(self.spark, folder).join(named, "file_name")
-        records = json_folder.records_of(whole, ["file_name", "source_table"])
+        records = json_folder.read_records(self.spark, folder, named=named, split_bytes=split_bytes)
         sinks.replace_sources(make_documents(records, self.catalog), f"{self.root}/documents")
 
         stored = self.documents.join(named.select("source_table"), "source_table", "left_semi")
@@ -441,7 +442,7 @@ class RecordStore:
 
     def search(self, query: Mapping[str, str | None], strict: bool = False) -> DataFrame:
         """Full records of the matching documents: one plan, however many there are."""
-        return results.result_records(results.fetch(self.documents, self.find(query, strict)))
+        return results.result_records(results.fetch(self.documents.drop("raw"), self.find(query, strict)))
 
     def search_chunks(self, query: Mapping[str, str | None], chunk_items: int = results.CHUNK_ITEMS) -> Iterator[list[Row]]:
         """Headers and records in order, a chunk at a time."""
@@ -458,7 +459,7 @@ class RecordStore:
 
     def batch_records(self, queries: DataFrame) -> DataFrame:
         """Full records of such queries: one fetch for all of them."""
-        return results.batch_records(self.documents, self.batch_and(queries))
+        return results.batch_records(self.documents.drop("raw"), self.batch_and(queries))
 
     def list_sources(self) -> DataFrame:
         return sources.catalog_rows(self.sources, [s.name for s in self.catalog.indexed])

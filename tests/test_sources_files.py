@@ -1,3 +1,6 @@
+import json
+import random
+
 import pytest
 from helpers import CATALOG, RAW, one, rows
 from pyspark.sql import functions as F
@@ -33,7 +36,8 @@ def test_running_totals_over_many_blocks(spark):
     ],
 )
 def test_layouts(spark, text, records):
-    assert one(spark, text, json_folder.parse_records) == records
+    parsed = json_folder.parsed_files(spark.createDataFrame([(text,)], "content string")).select("content", "_records")
+    assert parsed.first()["_records"] == records
 
 
 def test_repeated_key_keeps_the_last_value(spark):
@@ -298,3 +302,66 @@ def test_catalog_rejects_bad_specs():
     with pytest.raises(ValueError):
         Catalog((FieldSpec("x", "text"), FieldSpec("x", "code")))
     assert [s.name for s in CATALOG.only(["mail"])] == ["mail"]
+
+
+def test_segments_are_packed_until_full(spark):
+    """Lines of every size, several files: the same as going through them one by one."""
+    rng = random.Random(8)
+    files = {
+        "small": [rng.randrange(1, 20) for _ in range(400)],
+        "mixed": [rng.choice([1, 5, 40, 99, 100, 101, 350]) for _ in range(200)],
+        "exact": [25] * 40,
+        "large": [500, 700, 900],
+        "one": [7],
+    }
+    limit, want = 100, {}
+    for name, sizes in files.items():
+        segment, used = 1, 0
+        for i, size in enumerate(sizes):
+            if used and used + size > limit:
+                segment, used = segment + 1, 0
+            used += size
+            want[name, i * 3] = segment
+    lines = [(n, i * 3, "é" * ((s - 1) // 2) + "x" * ((s - 1) % 2)) for n, sizes in files.items() for i, s in enumerate(sizes)]
+    given = spark.createDataFrame(lines, "file_name string, seq bigint, line string").repartition(3)
+    got = segments.segment_plan(given, limit=limit).collect()
+    assert {(r["file_name"], r["seq"]): r["segment"] for r in got} == want and len(got) == len(want)
+    inside = {}
+    for r in got:
+        inside[r["file_name"], r["segment"]] = inside.get((r["file_name"], r["segment"]), 0) + r["bytes"]
+    assert all(r["segment_bytes"] == inside[r["file_name"], r["segment"]] for r in got)
+    assert segments.segment_plan(given.limit(0)).count() == 0
+
+
+def test_large_line_files_are_read_in_splits(spark, tmp_path):
+    """Every layout, once in files of one split and once in files of many."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    records = [{"id": str(i), "note": f"a}} {{b {i}"} for i in range(300)]
+    plain = [{"id": str(i), "note": f"n{i}"} for i in range(300)]
+    layouts = {
+        "lines.json": (records, "\n\n".join(json.dumps(r) for r in records)),
+        "array.json": (records, json.dumps(records, indent=1)),
+        "spread.json": (plain, "\n".join(json.dumps(r, indent=1) for r in plain)),
+        "joined.json": (plain, "".join(json.dumps(r) for r in plain)),
+        "mixed.json": (plain, json.dumps(plain[0]) + "\n" + "\n".join(json.dumps(r, indent=1) for r in plain[1:])),
+        "small.json": (records[:2], "\n".join(json.dumps(r) for r in records[:2])),
+        "blank.json": ([], " \n" * 2000),
+    }
+    for name, (_, text) in layouts.items():
+        (folder / name).write_text(text, encoding="utf8")
+    want = sorted((n, i, r["id"], r["note"]) for n, (rs, _) in layouts.items() for i, r in enumerate(rs, 1))
+    named = spark.createDataFrame([(n, n[:-5]) for n in layouts if n != "joined.json"], "file_name string, source_table string")
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        found = json_folder.read_records(spark, str(folder))
+        assert rows(found, "file_name", "seq", F.col("raw")["id"], F.col("raw")["note"]) == want
+        tasks = json_folder.read_json_lines(spark, str(folder), glob="lines.json").select(F.spark_partition_id()).distinct()
+        assert tasks.count() > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    some = json_folder.read_records(spark, str(folder), named=named, split_bytes=1000)
+    assert rows(some, "source_table", "seq", F.col("raw")["id"]) == sorted((n[:-5], i, d) for n, i, d, _ in want if n != "joined.json")
