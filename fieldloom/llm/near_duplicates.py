@@ -101,9 +101,10 @@ def _sets(words: int):
             sets = [s.view(np.int64) for s in Words(batch.column("text")).shingle_sets(words)]
             ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             flat = np.concatenate([*sets, np.empty(0, np.int64)])
+            marks = [int(mixed(s.view(np.uint64)).sum().view(np.int64)) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["doc_id", "shingles"],
+                [batch.column("doc_id"), pa.array(marks, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                ["doc_id", "set", "shingles"],
             )
 
     return run
@@ -130,17 +131,18 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
     Shingles are ordered from rare to common. Of sets with at least ``percent``
     similarity the smaller shares one of its first ``n - 2np/(100+p) + 1`` with the
-    first ``m - mp/100 + 1`` of the larger, and from there enough must remain.
+    first ``m - mp/100 + 1`` of the larger, and from there enough must remain. Each of
+    several sets of one id has its own order.
     """
     shingles = sets.join(members, "doc_id").select(
-        "doc_id", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")
+        "doc_id", "set", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")
     )
     counted = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     # A shingle of one text only pushes the others back and is never joined.
     ranked = shingles.join(counted, "shingle", "left").withColumn(
         "place",
         F.row_number().over(
-            Window.partitionBy("doc_id").orderBy(F.coalesce("copies", F.lit(1)), "shingle")
+            Window.partitionBy("doc_id", "set").orderBy(F.coalesce("copies", F.lit(1)), "shingle")
         ),
     )
     reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
@@ -168,7 +170,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = SHINGL
     doc_id reachable over links, and whether the row's own id is that.
 
     Null texts are empty texts; those and texts of blanks have 0 shingles and no
-    links. Repeated rows give repeated rows. A row without doc_id has no links, a
+    links. Repeated rows give repeated rows; they are one row while links are searched.
+    Links are those of ids: an id with several texts has the links of all. A row without doc_id has no links, a
     null component and is kept. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -197,9 +200,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = SHINGL
 
     # The ids grow with the table, so they are never broadcast, whatever their number.
     used = members.select("doc_id").distinct().hint("merge")
-    sets = texts.join(used, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>")
-    # Two texts of one id: the links of the id are those of its larger set.
-    sets = written(sets, "sets")
+    rows_used = texts.join(used, "doc_id", "left_semi")
+    # Rows of repeated ids are reduced to their different texts; others are not moved for that.
+    repeated = linkable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id")
+    repeated = written(repeated, "repeated").hint("merge")
+    single = rows_used.join(repeated, "doc_id", "left_anti")
+    several = rows_used.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.count(F.lit(1)))
+    # An id with several texts has the links of all of them.
+    sets = single.select("doc_id", "text").union(several.select("doc_id", "text"))
+    sets = written(sets.mapInArrow(_sets(words), "doc_id long, set long, shingles array<long>"), "sets")
     links = written(_confirmed(pairs, sets, percent), "links")
     labels = components(links)
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import tagger
 from fieldloom.llm.arrays import bound_batches
+from fieldloom.llm.samples import taken
 
 #: The kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -172,14 +173,12 @@ class PiiModel:
 def fit_pii(docs: DataFrame, rows: int = FIT_TEXTS, steps: int = STEPS) -> PiiModel:
     """A model from about ``rows`` texts with a trigger, taken by the hash of the text.
 
-    Of each of these the tagger learns from the surroundings of at most
-    ``FIT_PLACES`` triggers.
+    Of each of these the tagger learns from the surroundings of the first
+    ``FIT_PLACES`` triggers; all of a text is searched.
     """
     bound_batches(docs.sparkSession)
     texts = docs.select("text").filter(F.col("text").rlike(TRIGGER))
-    total = max(1, texts.count())
-    rate = int(min(1.0, rows / total) * 1_000_000)
-    chosen = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < rate).distinct()
+    chosen = texts.filter(taken(F.xxhash64("text"), rows, texts.count())).distinct()
     around = F.expr("regexp_extract_all(text, '(?s).{0,120}?(?:[0-9@]|[(\\\\[]at[)\\\\]]).{0,120}', 0)")
     # Only the surroundings of triggers go to the driver.
     parts = chosen.select(F.explode(F.slice(around, 1, FIT_PLACES)).alias("part")).distinct()

@@ -42,7 +42,7 @@ def _whole(vector: Column) -> Column:
     return F.coalesce(~bad, F.lit(False))
 
 
-def _matrix(rows: pa.ListArray, width: int) -> np.ndarray:
+def _dense(rows: pa.ListArray, width: int) -> np.ndarray:
     """The lists as rows, filled up with zeros."""
     sizes = rows.value_lengths().to_numpy(zero_copy_only=False)
     out = np.zeros((len(rows), width), np.int64)
@@ -122,7 +122,7 @@ def _searched(k: int):
                     sides.append((items.field("vec_id").to_numpy(zero_copy_only=False), items.field("q")))
                 copies = batch.column("vectors")[row].values.field("copies").to_numpy(zero_copy_only=False)
                 width = max(int(q.value_lengths().to_numpy(zero_copy_only=False).max()) for _, q in sides)
-                (query_ids, queries), (ids, vectors) = [(i, _matrix(q, width)) for i, q in sides]
+                (query_ids, queries), (ids, vectors) = [(i, _dense(q, width)) for i, q in sides]
                 found = list(shard_top(query_ids, queries, ids, vectors, k, copies))
                 columns = [
                     np.repeat([f[0] for f in found], [len(f[1]) for f in found]),
@@ -164,14 +164,16 @@ def top_k(
     asked = given.filter(is_query)
     asked = written(asked.groupBy(bucket(2, blocks).alias("block")).agg(rows.alias("queries")), "queries")
     every = sharded.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    pairs = every.join(asked.withColumn("block", F.col("block").cast("long")), "block").select("queries", "vectors")
+    spread = pairs.repartition(shards * blocks)
     # A row holds a whole shard and a block of queries.
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "1")
-    pairs = every.join(asked.withColumn("block", F.col("block").cast("long")), "block").select("queries", "vectors")
-    spread = pairs.repartition(shards * blocks)
-    found = written(spread.mapInArrow(_searched(k), FOUND), "found")
-    spark.conf.set(setting, before)
+    try:
+        found = written(spread.mapInArrow(_searched(k), FOUND), "found")
+    finally:
+        spark.conf.set(setting, before)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

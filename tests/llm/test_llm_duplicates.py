@@ -77,3 +77,32 @@ def test_sketches_fill_and_estimate():
     assert (values[:3] != EMPTY).all() and (values[3] == EMPTY).all()
     assert abs((values[0] == values[1]).mean() - 0.8) < 0.12
     assert (1 - 0.85 ** band_rows(85)) ** (COORDINATES // band_rows(85)) <= 1e-4
+
+
+def test_repeated_rows_and_ids_equal_brute_force(spark):
+    """Rows repeated 1 to 50 times in one large bucket, and ids that stand over two texts."""
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(300)]
+    base = [rng.choice(vocabulary) for _ in range(80)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            copy[rng.randrange(len(copy))] = f"n{rng.randrange(10**6)}"
+        rows += [(i, " ".join(copy))] * rng.choice([1, 1, 2, 50])
+    strangers = [" ".join(rng.choice(vocabulary) for _ in range(50)) for _ in range(8)]
+    rows += [(100 + i, t) for i, t in enumerate(strangers)] + [(100, strangers[1]), (3, strangers[5]), (105, strangers[5])]
+    got = sorted((tuple(r) for r in near_duplicates(docs(spark, rows), 85).collect()), key=repr)
+    assert got == brute(rows, 85)
+
+
+def test_links_are_confirmed_once_for_repeated_rows(spark, monkeypatch):
+    from fieldloom.llm import near_duplicates as module
+
+    sizes = {}
+    write = module.written
+    monkeypatch.setattr(module, "written", lambda df, name: sizes.setdefault(name, write(df, name)))
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text)] * 50 + [(2, text + " end")] * 50
+    near_duplicates(docs(spark, rows), 80).collect()
+    assert sizes["sets"].count() == 2 and sizes["links"].count() == 1

@@ -10,6 +10,7 @@ from helpers_llm import AWKWARD, docs
 from pyspark.sql import functions as F
 
 from fieldloom.llm import decontamination, pii, quality, tagger, toxicity
+from fieldloom.llm.samples import labelled_sample, taken
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -306,3 +307,33 @@ def test_recall_of_a_full_block(spark):
     found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(given, models).collect()}
     print("recall", len(want & found), len(want), "others", len(found - want))
     assert len(models) == 1 and len(want & found) >= 0.9 * len(want)
+
+
+def test_samples_do_not_vanish_in_large_tables(spark):
+    rows = spark.range(4_000_000).select(F.xxhash64("id").alias("mark"))
+    for wanted, total in ((5, 10_000_000), (600, 10**9), (10**6, 10**12), (4_000_000, 10**7), (7, 3)):
+        share = min(1.0, wanted / total)
+        found = rows.filter(taken(F.col("mark"), wanted, total)).count()
+        assert abs(found - share * 4_000_000) <= 6 * (share * 4_000_000) ** 0.5 + 4
+    # One row in 50 million: none here, but the condition can be met.
+    assert spark.range(1).select(taken(F.lit(0).cast("long"), 1, 1)).first()[0]
+
+
+def test_a_repeated_row_is_one_row_of_a_labelled_sample(spark):
+    text = "some words of a row that stands very often"
+    rows = [(1, text)] * 10_000 + [(2, text), (3, "another"), (3, "text"), (4, "no label"), (None, "no id")]
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (3, 0), (None, 1), (5, 1), (4, None)], "doc_id long, quality int")
+    found = labelled_sample(docs(spark, rows), labels, "quality")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, text, 1), (3, "another", 0), (3, "text", 0)]
+
+
+def test_short_items_are_found_word_for_word(spark):
+    benchmark = spark.createDataFrame(
+        [(1, "What is the capital?"), (2, "Yes."), (3, "one two three four five six seven"), (4, "one two three four"), (5, None)],
+        "item_id long, text string",
+    )
+    rows = [(1, "so what IS the capital? I asked, what is the capital?"), (2, "what is a capital?"), (3, "yes."), (4, None)]
+    rows += [(5, "zero one two three four five six seven"), (6, "one two three 4")]
+    models = decontamination.fit_leaks(docs(spark, rows), benchmark)
+    found = {(r.doc_id, r.item_id, r.first_word) for r in decontamination.contaminated(docs(spark, rows), models).collect()}
+    assert found == {(1, 1, 1), (5, 3, 1), (5, 4, 1)}

@@ -51,3 +51,11 @@ def test_pipeline_with_awkward_rows(spark):
         for name, stage in corpus_pipeline.STAGES:
             out = corpus_pipeline.written(stage(spark, out, SF_DIR), f"awkward-{name}")
         assert out.count() == count
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text + " end"), (1, text), (5, "a text that is like nothing else in this table at all"), (7, text), (None, text)]
+    given = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, given.repartition(3), SF_DIR)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([rows[1], rows[2], rows[4]], key=repr)
