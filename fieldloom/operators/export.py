@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fieldloom.functions.texts import csv_cell
 
@@ -60,6 +61,55 @@ def text_lines(records: DataFrame, headers: DataFrame, by: tuple[str, ...] = ())
     return _titles(headers, lambda c: c, keys).unionByName(body)
 
 
+#: Fixed values of export files.
+BYTE_ORDER_MARK = "\ufeff"
+NO_DATA = "No data"
+GROUP_RULE = "-----------------------"
+
+
+def csv_document(records: DataFrame, headers: DataFrame) -> DataFrame:
+    """One CSV file of all sources: ``place, part, seq, line`` in this order.
+
+    The first line begins with a byte order mark. Each source has its title, its info, an empty
+    line, and its column line with the records, or a line that says there are none;
+    an empty line stands between sources.
+    """
+    lines = csv_lines(records, headers).withColumn("part", F.when(F.col("part") >= 2, F.col("part") + 1).otherwise(F.col("part")))
+    return _document(lines, records, headers, f'"{NO_DATA}"', "", BYTE_ORDER_MARK)
+
+
+def text_document(records: DataFrame, headers: DataFrame) -> DataFrame:
+    """One text file of all sources: ``place, part, seq, line`` in this order.
+
+    As :func:`csv_document`, with an empty line after each record, no mark, and a rule between sources.
+    """
+    lines = text_lines(records, headers).withColumn("part", F.when(F.col("part") >= 2, F.col("part") + 1).otherwise(F.col("part")))
+    return _document(lines, records, headers, f"{NO_DATA}\n", f"{GROUP_RULE}\n", "")
+
+
+def _document(lines: DataFrame, records: DataFrame, headers: DataFrame, none: str, between: str, mark: str) -> DataFrame:
+    """Lines of sources (parts 0, 1, 3, 4) with what stands around them.
+
+    Sources are numbered in one window: a file has one heading per source.
+    """
+    order = Window.orderBy("source_table")
+    places = headers.select("source_table").distinct().withColumn("place", F.row_number().over(order).cast("bigint"))
+    empty = places.join(records.select("source_table").distinct(), "source_table", "left_anti")
+
+    def fixed(rows: DataFrame, part: int, line: str) -> DataFrame:
+        return rows.select("place", F.lit(part).alias("part"), F.lit(0).cast("bigint").alias("seq"), F.lit(line).alias("line"))
+
+    body = lines.join(places, "source_table")
+    first = (F.col("place") == 1) & (F.col("part") == 0)
+    marked = F.when(first, F.concat(F.lit(mark), "line")).otherwise(F.col("line")).alias("line")
+    return (
+        body.select("place", "part", "seq", marked)
+        .unionByName(fixed(places, 2, ""))
+        .unionByName(fixed(empty, 3, none))
+        .unionByName(fixed(places.where("place > 1").withColumn("place", F.col("place") - 1), 5, between))
+    )
+
+
 def _titles(headers: DataFrame, cell, keys: list[str]) -> DataFrame:
     zero = F.lit(0).cast("bigint").alias("seq")
     title = headers.select(*keys, F.lit(0).alias("part"), zero, F.concat(F.lit("Source: "), cell(F.col("name"))).alias("line"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions.shards import document_shard
 from fieldloom.functions.texts import byte_size
 from fieldloom.operators.positions import running_totals
+from fieldloom.session import written
 
 TOP_SHARDS = 20
 
@@ -114,6 +115,7 @@ def sample_stats(samples: DataFrame, by: str, value: str, blocks: int = 64) -> D
     quantiles of the distinct values, so an outlier does not empty the blocks.
     """
     counts = samples.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    counts = written(counts, "sample-counts")
     totals = counts.groupBy(by).agg(
         F.sum("n").alias("samples"),
         F.min("v").alias("min"),
@@ -122,7 +124,7 @@ def sample_stats(samples: DataFrame, by: str, value: str, blocks: int = 64) -> D
         F.percentile_approx("v", [i / blocks for i in range(1, blocks)]).alias("cuts"),
     )
     same = F.col(by).eqNullSafe(F.col("_by"))
-    placed = counts.join(totals.withColumnRenamed(by, "_by"), same).drop("_by")
+    placed = written(counts.join(totals.withColumnRenamed(by, "_by"), same).drop("_by"), "sample-values")
     block = F.size(F.filter("cuts", lambda cut: cut < F.col("v")))
     ranked = running_totals(placed, by=[by], order=["v"], totals={"below": F.col("n")}, block=block)
     low, high = F.expr("(samples - 1) div 2"), F.expr("samples div 2")

@@ -115,6 +115,15 @@ def result_stream(records: DataFrame, sources: DataFrame, chunk_items: int = CHU
     return heads.unionByName(items).withColumn("chunk", F.floor(F.col("position") / chunk_items).cast("bigint"))
 
 
+def chunk_after(stored: DataFrame, position: int = -1, items: int = CHUNK_ITEMS) -> DataFrame:
+    """The next items of a stored stream behind a position: any chunk, without the ones before.
+
+    Positions have no gaps, so a chunk is a range of them, which the scan skips to.
+    """
+    wanted = (F.col("position") > position) & (F.col("position") <= position + items)
+    return stored.where(wanted).orderBy("position")
+
+
 def iterate_chunks(stream: DataFrame) -> Iterator[list[Row]]:
     """Deliver the stream in order, one chunk in memory at a time."""
     chunk: list[Row] = []

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fieldloom.functions.blanks import null_if_empty, strip
 from fieldloom.functions.dates import epoch_moment, first_filled, moment
@@ -118,8 +119,18 @@ def filter_type(rows: DataFrame, wanted: str | None) -> DataFrame:
 
 def sort_rows(rows: DataFrame, key: str, descending: bool = False) -> DataFrame:
     """Sort by a column: ``count`` as a number, others in dictionary order."""
+    return rows.orderBy(*_order(key, descending))
+
+
+def numbered(rows: DataFrame, key: str, descending: bool = False) -> DataFrame:
+    """Add ``place``, a row's number in that order. One window: the catalogue has a row per source."""
+    order = Window.orderBy(*_order(key, descending))
+    return rows.withColumn("place", F.row_number().over(order).cast("bigint"))
+
+
+def _order(key: str, descending: bool) -> list[Column]:
     place = leading_int(F.col("count")) if key == "count" else F.collate(F.coalesce(key, F.lit("")), "UNICODE")
-    return rows.orderBy(place.desc() if descending else place.asc(), "name_table")
+    return [place.desc() if descending else place.asc(), F.col("name_table")]
 
 
 def catalog_totals(rows: DataFrame) -> DataFrame:

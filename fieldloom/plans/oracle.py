@@ -505,3 +505,65 @@ asked_heads AS (SELECT DISTINCT value, h.* FROM asked JOIN heads h USING (source
 places AS (SELECT source_table, doc_id, seq, k, row_number() OVER (PARTITION BY doc_id ORDER BY bad, pos) AS nth FROM found),
 cols AS (SELECT value, source_table, k, min((seq, nth)) AS place FROM places JOIN asked USING (doc_id, source_table) GROUP BY 1, 2, 3)""",
 )
+
+ORACLE["search_page"] = on_base(
+    """SELECT * FROM (SELECT position, kind, source_table, doc_id, body, position // 200 AS chunk FROM (
+  SELECT row_number() OVER (ORDER BY source_table, kind, seq, doc_id) - 1 AS position, * FROM (
+    SELECT 'header' AS kind, source_table, NULL::BIGINT AS seq, NULL::VARCHAR AS doc_id, name || ' | ' || info || ' | ' || type AS body FROM heads
+    UNION ALL SELECT 'record', source_table, seq, doc_id, fields FROM recs)))
+QUALIFY position > max(position) OVER () - 200""",
+    found(RANGE_HITS),
+)
+ORACLE["shard_drift"] = on_base(
+    """SELECT field, shard, coalesce(s.n, 0) AS n, coalesce(z.bytes, 0) AS bytes
+FROM (SELECT * FROM shards WHERE field IN ('label', 'brand', 'ref', 'status')) s
+FULL JOIN (SELECT * FROM shards WHERE field IN ('ref', 'email', 'status', 'nation')) z USING (field, shard)""",
+    SHARDS,
+)
+ORACLE["norm_exact"] = f"""
+WITH coded AS (SELECT c_custkey, ' ' || right(repeat('7', 13) || c_custkey, 9 + length(c_mktsegment) % 5) || CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END AS given
+  FROM customer)
+SELECT c_custkey, field, given, CASE WHEN regexp_full_match(trim(given), digits) THEN trim(given) END AS clean, {only_digits('given')} AS term
+FROM coded, (VALUES ('eleven', '[0-9]{{11}}'), ('ten_or_twelve', '[0-9]{{10}}|[0-9]{{12}}'), ('ten', '[0-9]{{10}}')) f(field, digits)"""
+ORACLE["source_moments"] = """
+SELECT o_orderkey, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN strftime(o_orderdate, '%d.%m.%Y')
+    WHEN '2' THEN ' ' || strftime(o_orderdate, '%Y-%m-%d') || 'T10:20:30Z' WHEN '3' THEN strftime(o_orderdate, '%Y-%m-%d') || ' or so'
+    WHEN '4' THEN 'soon' ELSE '' END AS given,
+  CASE substr(o_orderpriority, 1, 1) WHEN '2' THEN strftime(o_orderdate, '%Y-%m-%d') || ' 10:20:30' WHEN '4' THEN NULL
+    WHEN '5' THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') ELSE strftime(o_orderdate, '%Y-%m-%d 00:00:00') END AS moment
+FROM orders"""
+ORACLE["catalog_by_name"] = f"""
+WITH {FEEDS} SELECT row_number() OVER (ORDER BY lower(name), name_table) AS place, name_table, name FROM cat"""
+
+ALL_HEADS = """,
+all_heads AS (
+  SELECT source_table, name, info, type FROM heads
+  UNION ALL SELECT source_table, name, coalesce(description, 'Import from file ' || file_name), coalesce(type, 'local-import')
+  FROM source_rows WHERE source_table NOT IN (SELECT source_table FROM heads)),
+placed AS (SELECT *, row_number() OVER (ORDER BY source_table) AS place FROM all_heads),
+frame AS (
+  SELECT place, 2 AS part, '' AS line FROM placed
+  UNION ALL SELECT place, 3, NULL FROM placed WHERE source_table NOT IN (SELECT source_table FROM recs)
+  UNION ALL SELECT place, 5, NULL FROM placed WHERE place < (SELECT max(place) FROM placed))"""
+ORACLE["export_csv_file"] = on_base(
+    f"""SELECT place, 0 AS part, 0 AS seq, CASE WHEN place = 1 THEN chr(65279) ELSE '' END || 'Source: ' || {CELL.format('name')} AS line FROM placed
+UNION ALL SELECT place, 1, 0, {CELL.format('info')} FROM placed
+UNION ALL SELECT place, part, 0, CASE part WHEN 3 THEN '"No data"' ELSE '' END FROM frame
+UNION ALL SELECT place, 3, 0, string_agg({CELL.format('k')}, ',' ORDER BY nth) FROM cols JOIN placed USING (source_table) GROUP BY 1
+UNION ALL SELECT p.place, 4, r.seq, string_agg(coalesce({CELL.format('f.v')}, ''), ',' ORDER BY c.nth)
+  FROM recs r JOIN placed p USING (source_table) JOIN cols c USING (source_table) LEFT JOIN found f ON f.doc_id = r.doc_id AND f.k = c.k
+  GROUP BY p.place, r.doc_id, r.seq""",
+    found(REF_HITS)
+    + ALL_HEADS
+    + """,
+cells_in AS (SELECT source_table, seq, k, row_number() OVER (PARTITION BY doc_id ORDER BY bad, pos) AS nth FROM found),
+cols AS (SELECT source_table, k, min((seq, nth)) AS nth FROM cells_in GROUP BY 1, 2)""",
+)
+ORACLE["export_text_file"] = on_base(
+    """SELECT place, 0 AS part, 0 AS seq, 'Source: ' || name AS line FROM placed
+UNION ALL SELECT place, 1, 0, info FROM placed
+UNION ALL SELECT place, part, 0, CASE part WHEN 3 THEN 'No data' || chr(10) WHEN 5 THEN '-----------------------' || chr(10) ELSE '' END FROM frame
+UNION ALL SELECT place, 4, seq, string_agg(k || ' = ' || v, chr(10) ORDER BY bad, pos) || chr(10) FROM found JOIN placed USING (source_table)
+  GROUP BY place, doc_id, seq""",
+    found(REF_HITS) + ALL_HEADS,
+)

@@ -8,10 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
+from fieldloom.catalog import Catalog, FieldSpec
 from fieldloom.functions import fields as ff
 from fieldloom.functions.blanks import strip
-from fieldloom.functions.dates import day_text, day_value
+from fieldloom.functions.dates import day_text, day_value, epoch_moment, moment
 from fieldloom.functions.texts import map_text
 from fieldloom.functions.typed_input import is_acceptable, sanitize
 from fieldloom.operators import batch, export, manifest, naming, profile, results, segments, sources
@@ -107,6 +107,17 @@ def search_stream(spark, sf_dir):
     return results.result_stream(found, source_rows(spark, sf_dir))
 
 
+@query
+def search_page(spark, sf_dir):
+    """The last full chunk of a stored stream, read by its cursor alone."""
+    found = written(found_records(spark, sf_dir, REF_RANGE), "search-page")
+    folder = shared_dir(spark, "search-page-stream")
+    sinks.write_stream_rows(results.result_stream(found, source_rows(spark, sf_dir)), folder)
+    stored = spark.read.parquet(folder)
+    last = stored.agg(F.coalesce(F.max("position"), F.lit(-1))).first()[0]
+    return results.chunk_after(stored, last - results.CHUNK_ITEMS)
+
+
 @query
 def search_totals(spark, sf_dir):
     return results.result_totals(found_records(spark, sf_dir, REF_RANGE))
@@ -311,8 +322,15 @@ def _shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def shard_profile(spark, sf_dir):
-    found = table_postings(spark, sf_dir)
-    return profile.shard_profile(profile.shards_with_sizes(profile.shard_stats(found), profile.shard_sizes(found)))
+    return profile.shard_profile(_shards(spark, sf_dir))
+
+
+@query
+def shard_drift(spark, sf_dir):
+    """Counts of an index that is behind beside sizes of what is there now: shards of either side."""
+    counted = profile.shard_stats(table_postings(spark, sf_dir, {"label", "brand", "ref", "status"}))
+    sizes = profile.shard_sizes(table_postings(spark, sf_dir, {"ref", "email", "status", "nation"}))
+    return profile.shards_with_sizes(counted, sizes)
 
 
 @query
@@ -381,6 +399,46 @@ def norm_date(spark, sf_dir):
     return shown.select("*", F.date_format(day_value(F.col("day")), "yyyy-MM-dd").alias("calendar_day"))
 
 
+@query
+def norm_exact(spark, sf_dir):
+    """Codes of fixed lengths: only digits, in an accepted number."""
+    catalog = Catalog(
+        (
+            FieldSpec("eleven", "digits_exact", lengths=(11,)),
+            FieldSpec("ten_or_twelve", "digits_exact", lengths=(10, 12)),
+            FieldSpec("ten", "digits_exact", lengths=(10,)),
+        )
+    )
+    customer = table(spark, sf_dir, "customer")
+    size = (9 + F.length("c_mktsegment") % 5).cast("int")
+    code = F.concat(F.lit(" "), F.lpad(F.col("c_custkey").cast("string"), size, "7"), F.when(F.col("c_acctbal") < 0, "-").otherwise(""))
+    coded = customer.select("c_custkey", code.alias("given"), F.explode(F.array(*[F.lit(s.name) for s in catalog])).alias("field"))
+    coded = coded.withColumn("value", strip(F.col("given")))
+    clean = ff.by_field(catalog, F.col("field"), lambda s: ff.clean_value(s, F.col("value")))
+    term = ff.by_field(catalog, F.col("field"), lambda s: ff.index_term(s, F.col("value")))
+    return coded.select("c_custkey", "field", "given", clean.alias("clean"), term.alias("term"))
+
+
+def stamped_text():
+    """An order date as sources write dates, by priority."""
+    day_only = day("o_orderdate")
+    return (
+        F.when(F.col("o_orderpriority").startswith("1"), F.date_format("o_orderdate", "dd.MM.yyyy"))
+        .when(F.col("o_orderpriority").startswith("2"), F.concat(F.lit(" "), day_only, F.lit("T10:20:30Z")))
+        .when(F.col("o_orderpriority").startswith("3"), F.concat(day_only, F.lit(" or so")))
+        .when(F.col("o_orderpriority").startswith("4"), F.lit("soon"))
+        .otherwise(F.lit(""))
+    )
+
+
+@query
+def source_moments(spark, sf_dir):
+    """Dates in the spellings of source descriptions; epoch numbers where there is no text."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", stamped_text().alias("given"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("epoch"))
+    when = F.when(F.col("given") == "", epoch_moment(F.col("epoch"))).otherwise(moment(F.col("given")))
+    return rows.select("o_orderkey", "given", F.date_format(when, "yyyy-MM-dd HH:mm:ss").alias("moment"))
+
+
 @query
 def extract_numbers(spark, sf_dir):
     runs = ff.mined_digit_runs(TABLE_CATALOG["ref"], F.col("text"))
@@ -709,6 +767,13 @@ def catalog_sorted(spark, sf_dir):
     return sources.sort_rows(_catalog(spark, sf_dir), "count", descending=True).select("name_table", "count")
 
 
+@query
+def catalog_by_name(spark, sf_dir):
+    """Catalogue rows numbered in dictionary order of their names."""
+    ordered = sources.sort_rows(_catalog(spark, sf_dir), "name")
+    return sources.numbered(ordered, "name").select("place", "name_table", "name")
+
+
 @query
 def catalog_totals(spark, sf_dir):
     return sources.catalog_totals(sources.filter_type(_catalog(spark, sf_dir), "MACHINERY"))
@@ -786,3 +851,23 @@ def export_text(spark, sf_dir):
     return export.text_lines(found, headers)
 
 
+
+
+def _export(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Records of a search, and headings of all sources, also of those it did not meet."""
+    found = written(found_records(spark, sf_dir, REF), "export")
+    met = results.result_headers(found, source_rows(spark, sf_dir))
+    others = source_rows(spark, sf_dir).join(met, "source_table", "left_anti")
+    return found, met.drop("records").unionByName(others.select("source_table", *results.header_columns()))
+
+
+@query
+def export_csv_file(spark, sf_dir):
+    """A whole CSV file, with the sources that a search did not meet."""
+    return export.csv_document(*_export(spark, sf_dir))
+
+
+@query
+def export_text_file(spark, sf_dir):
+    """A whole text file, with the sources that a search did not meet."""
+    return export.text_document(*_export(spark, sf_dir))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_FILE = 2_000_000
+ROW_GROUP_BYTES = 4 << 20
 
 
 def write_documents(documents: DataFrame, path: str, mode: str = "append", rows_per_file: int = ROWS_PER_FILE) -> None:
@@ -53,6 +54,22 @@ def write_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     ordered.select("source_table", F.col("line").alias("value")).write.mode(mode).partitionBy("source_table").text(path)
 
 
+def write_document(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """An export file's lines ``place, part, seq, line`` as text files that in name order form the whole."""
+    order = ("place", "part", "seq")
+    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.select(F.col("line").alias("value")).write.mode(mode).text(path)
+
+
+def write_stream_rows(stream: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A numbered result stream in order of position, with small row groups.
+
+    Their least and greatest positions let a reader open a chunk without those before it.
+    """
+    ordered = stream.repartitionByRange("position").sortWithinPartitions("position")
+    ordered.write.mode(mode).option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+
+
 def write_segments(planned: DataFrame, path: str, line: str = "line", mode: str = "append") -> None:
     """Lines with ``file_name, seq, segment`` into one folder per segment."""
     placed = planned.repartition("file_name", "segment").sortWithinPartitions("file_name", "segment", "seq")

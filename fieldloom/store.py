@@ -31,7 +31,7 @@ from fieldloom.catalog import Catalog
 from fieldloom.operators import batch, manifest, naming, profile, results, search, sources
 from fieldloom.operators.postings import postings
 from fieldloom.operators.records import documents as make_documents
-from fieldloom.session import written
+from fieldloom.session import shared_dir, written
 from fieldloom.sources import json_folder, sinks
 from fieldloom.streaming.upkeep import DOCUMENT_SCHEMA, read_document_stream
 
@@ -449,6 +449,17 @@ class RecordStore:
         found = written(self.search(query), "results")
         return results.iterate_chunks(results.result_stream(found, self.sources, chunk_items))
 
+    def store_results(self, query: Mapping[str, str | None]) -> str:
+        """Write a query's headers and records in order; returns the folder, for ``result_page``."""
+        folder = shared_dir(self.spark, "result-stream")
+        found = written(self.search(query), "results")
+        sinks.write_stream_rows(results.result_stream(found, self.sources), folder)
+        return folder
+
+    def result_page(self, folder: str, after: int = -1, items: int = results.CHUNK_ITEMS) -> DataFrame:
+        """The items of stored results behind the position of the last one seen."""
+        return results.chunk_after(self.spark.read.parquet(folder), after, items)
+
     def batch_search(self, queries: DataFrame) -> DataFrame:
         """Hits of a table of queries ``query_id, field, value``, each line for itself."""
         return batch.batch_search(self.postings, queries, self.catalog, words=self.terms)

@@ -1,11 +1,12 @@
 import json
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from helpers import CATALOG, RAW, one, rows
 from pyspark.sql import functions as F
 
-from fieldloom.operators import export, manifest, naming, profile, segments, sources
+from fieldloom.operators import export, manifest, naming, profile, results, segments, sources
 from fieldloom.operators.positions import block_of, running_totals
 from fieldloom.sources import json_folder, sinks
 
@@ -365,3 +366,43 @@ def test_large_line_files_are_read_in_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     some = json_folder.read_records(spark, str(folder), named=named, split_bytes=1000)
     assert rows(some, "source_table", "seq", F.col("raw")["id"]) == sorted((n[:-5], i, d) for n, i, d, _ in want if n != "joined.json")
+
+
+def test_export_files_are_framed(spark, tmp_path):
+    data = [("s", 1, '{"a": "1"}'), ("s", 2, '{"b": "2"}'), ("x", 1, '{"z": "9"}')]
+    recs = spark.createDataFrame(data, "source_table string, seq bigint, text string").select(
+        "source_table", "seq", F.from_json("text", RAW).alias("fields")
+    )
+    heads = [("r", "None", "Nothing met"), ("s", "Name", ""), ("t", "Last", None)]
+    headers = spark.createDataFrame(heads, "source_table string, name string, info string")
+
+    def file_of(lines, name):
+        sinks.write_document(lines, str(tmp_path / name))
+        return "".join(p.read_text(encoding="utf8") for p in sorted((tmp_path / name).glob("part-*")))
+
+    csv = file_of(export.csv_document(recs, headers), "csv")
+    assert csv == '﻿Source: None\nNothing met\n\n"No data"\n\nSource: Name\n\na,b\n1,\n,2\n\nSource: Last\n\n"No data"\n'
+    text = file_of(export.text_document(recs, headers), "text")
+    rule = "-----------------------\n\n"
+    assert text == (
+        f"Source: None\nNothing met\n\nNo data\n\n{rule}Source: Name\n\na = 1\n\nb = 2\n\n{rule}Source: Last\n\nNo data\n\n"
+    )
+    assert export.csv_document(recs, headers.limit(0)).count() == 0
+
+
+def test_a_chunk_is_read_without_those_before(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "ROW_GROUP_BYTES", 1 << 16)
+    stream = spark.range(30_000).select(F.col("id").alias("position"), F.sha2(F.col("id").cast("string"), 256).alias("body"))
+    sinks.write_stream_rows(stream.repartition(5), str(tmp_path / "stream"))
+    stored = spark.read.parquet(str(tmp_path / "stream"))
+    page = results.chunk_after(stored, 29_799)
+    assert [r["position"] for r in page.collect()] == list(range(29_800, 30_000))
+    assert [r["position"] for r in results.chunk_after(stored, -1, 3).collect()] == [0, 1, 2]
+    assert "GreaterThan(position,29799)" in page._jdf.queryExecution().toString()
+    groups = [
+        (g.column(0).statistics.min, g.column(0).statistics.max)
+        for file in (tmp_path / "stream").glob("part-*.parquet")
+        for meta in [pq.ParquetFile(file).metadata]
+        for g in map(meta.row_group, range(meta.num_row_groups))
+    ]
+    assert len(groups) > 5 and sum(low <= 29_999 and high > 29_799 for low, high in groups) <= 2
