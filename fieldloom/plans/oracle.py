@@ -309,8 +309,14 @@ TYPED = f"""typed AS (
   UNION ALL SELECT 'order_date', o_orderkey, {DATED} FROM orders
   UNION ALL SELECT 'email', c_custkey, replace(c_name, '#', '.') || '@Mail.Example.COM' FROM customer
   UNION ALL SELECT 'user', event_id, 'u' || user_id FROM events
-  UNION ALL SELECT 'type', event_id, event_type FROM events)"""
-TERM = f"""CASE field WHEN 'ref' THEN {only_digits('v')} WHEN 'user' THEN {only_digits('v')}
+  UNION ALL SELECT 'type', event_id, event_type FROM events
+  UNION ALL SELECT 'k', event_id, 'k ' || json_extract_string(props, '$.k') FROM events
+  UNION ALL SELECT 'segment', c_custkey, lower(c_mktsegment) || '!' FROM customer
+  UNION ALL SELECT 'nation', n_nationkey, chr(10) || n_name FROM nation
+  UNION ALL SELECT 'status', o_orderkey, o_orderstatus || '?' FROM orders
+  UNION ALL SELECT 'lang', doc_id, lang FROM documents
+  UNION ALL SELECT 'source', doc_id, ' ' || source FROM documents)"""
+TERM = f"""CASE field WHEN 'ref' THEN {only_digits('v')} WHEN 'user' THEN {only_digits('v')} WHEN 'k' THEN {only_digits('v')}
   WHEN 'label' THEN regexp_replace(upper(v), ' +', ' ', 'g') WHEN 'brand' THEN replace(upper(v), ' ', '')
   WHEN 'email' THEN lower(v) WHEN 'order_date' THEN coalesce({day_sql('v')}, v) ELSE v END"""
 ORACLE["norm_terms"] = f"WITH {TYPED} SELECT field, row, {TERM} AS term FROM (SELECT *, trim(value, {BLANKS}) AS v FROM typed)"
@@ -329,7 +335,7 @@ ORACLE["query_terms"] = f"""
 WITH {TYPED}, asked AS (
   SELECT field, row, trim(value, {BLANKS}) AS v FROM typed
   UNION ALL SELECT field, row, trim(replace(value, '1', '?') || '_%', {BLANKS}) FROM typed WHERE field IN ('ref', 'email')),
-termed AS (SELECT field, row, CASE WHEN field IN ('ref', 'user') THEN regexp_replace(v, '[^0-9?%]', '', 'g')
+termed AS (SELECT field, row, CASE WHEN field IN ('ref', 'user', 'k') THEN regexp_replace(v, '[^0-9?%]', '', 'g')
   WHEN field = 'label' THEN regexp_replace(upper(v), ' +', '%', 'g') || '%' ELSE {TERM} END AS term FROM asked)
 SELECT field, row, term, contains(term, '?') OR contains(term, '%') AS wildcard, regexp_extract(term, '^[^?%]+') AS prefix,
   replace(replace(replace(term, '\\', '\\\\'), '_', '\\_'), '?', '_') AS pattern FROM termed WHERE term <> ''"""
@@ -337,10 +343,11 @@ ORACLE["sanitize_terms"] = f"""
 WITH {TYPED}, cut AS (SELECT field, row, CASE field
   WHEN 'ref' THEN substr(regexp_replace(value, '[^0-9?%]', '', 'g'), 1, 15)
   WHEN 'user' THEN regexp_replace(value, '[^0-9?%]', '', 'g')
+  WHEN 'k' THEN regexp_replace(value, '[^0-9?%]', '', 'g')
   WHEN 'label' THEN substr(regexp_replace(value, '[^a-zA-Z ?%]', '', 'g'), 1, 255)
   WHEN 'brand' THEN substr(regexp_replace(value, '[^a-zA-Z0-9?%]', '', 'g'), 1, 17)
   WHEN 'order_date' THEN substr(regexp_replace(value, '[^0-9.?%]', '', 'g'), 1, 10)
-  WHEN 'type' THEN regexp_replace(value, '[^a-zA-Z0-9?%]', '', 'g') ELSE value END AS value FROM typed),
+  WHEN 'email' THEN value ELSE regexp_replace(value, '[^a-zA-Z0-9?%]', '', 'g') END AS value FROM typed),
 dot AS (SELECT field, row, CASE WHEN field = 'order_date' AND length(value) > 2 AND value[3] <> '.'
   THEN value[1:2] || '.' || value[3:] ELSE value END AS value FROM cut)
 SELECT field, row, CASE WHEN field = 'order_date' AND length(value) > 5 AND value[6] <> '.'

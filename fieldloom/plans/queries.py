@@ -358,7 +358,7 @@ def sample_stats(spark, sf_dir):
 
 
 def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``field, row, value``: every kind of value, in untidy spellings."""
+    """``field, row, value``: values of every field, in untidy spellings."""
     def rows(name: str, key: str, field: str, value) -> DataFrame:
         return table(spark, sf_dir, name).select(F.lit(field).alias("field"), F.col(key).cast("bigint").alias("row"), value.alias("value"))
 
@@ -371,6 +371,12 @@ def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(rows("customer", "c_custkey", "email", F.concat(F.replace("c_name", F.lit("#"), F.lit(".")), F.lit("@Mail.Example.COM"))))
         .unionByName(rows("events", "event_id", "user", F.concat(F.lit("u"), F.col("user_id").cast("string"))))
         .unionByName(rows("events", "event_id", "type", F.col("event_type")))
+        .unionByName(rows("events", "event_id", "k", F.concat(F.lit("k "), F.get_json_object("props", "$.k"))))
+        .unionByName(rows("customer", "c_custkey", "segment", F.concat(F.lower("c_mktsegment"), F.lit("!"))))
+        .unionByName(rows("nation", "n_nationkey", "nation", F.concat(F.lit("\n"), F.col("n_name"))))
+        .unionByName(rows("orders", "o_orderkey", "status", F.concat(F.col("o_orderstatus"), F.lit("?"))))
+        .unionByName(rows("documents", "doc_id", "lang", F.col("lang")))
+        .unionByName(rows("documents", "doc_id", "source", F.concat(F.lit(" "), F.col("source"))))
     )
 
 

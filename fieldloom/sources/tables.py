@@ -206,7 +206,7 @@ def table_postings(spark: SparkSession, sf_dir: str, fields: set[str] | None = N
 
 
 def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The source dimension for the tables above; ``events`` has no row here."""
+    """The source dimension for the tables above; ``events`` and ``documents`` have no row here."""
     kinds = F.create_map(
         *[F.lit(x) for x in ("customer", "parties", "supplier", "parties", "part", "goods", "orders", "trade")]
     )
