@@ -190,6 +190,10 @@ def test_store_batch_of_lines(spark, store):
     lines = export.csv_lines(found, headers, by=("query_id",)).where("query_id = 2").orderBy("part", "seq")
     assert [r["line"] for r in lines.collect()] == ["Source: b", "Local source", "id,mail,number", "1,x@b.org,79990000001"]
     assert store.batch_and(queries.limit(0)).count() == 0
+    folder = store.store_results({"mail": "%@a.org"})
+    first = store.result_page(folder, items=3).collect()
+    assert [(r["position"], r["kind"], r["source_table"]) for r in first] == [(0, "header", "a"), (1, "record", "a"), (2, "record", "a")]
+    assert [r["doc_id"] for r in store.result_page(folder, after=2, items=3).collect()] == [None, "b:2"]
 
 
 def test_lines_match_single_searches(spark):
