@@ -157,7 +157,8 @@ def sharded(
 
     rank = F.col("part_begin") + F.col("before")
     placed = ranked.join(offset_rows, "part").withColumn("rank", rank)
-    # Segments are at most a few per virtual node, so they are broadcast.
+    # Rows of an arc are split only where a shard becomes full, so there are no more segments
+    # than arcs and shards together: a bounded broadcast.
     met = placed.join(F.broadcast(segment_rows), "arc")
     begin, end = F.greatest("rank", "first"), F.least(F.col("rank") + F.col("copies"), "last")
     runs = met.filter(begin < end).select(
