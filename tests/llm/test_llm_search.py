@@ -1,5 +1,6 @@
 """Chat formatting, top-k search and shared passages."""
 
+import itertools
 import random
 
 import numpy as np
@@ -199,6 +200,110 @@ def test_fuzzy_passages_are_found(spark):
     assert min(recall.values()) >= 0.95 and found <= set.union(*want.values())
 
 
+@pytest.mark.parametrize("part", [32, 40])
+def test_fuzzy_pairs_behind_partial_holders(spark, part):
+    """Pairs of 80 words with 8 % replaced per side; six texts on both ends of the ids hold parts of each."""
+    rng = random.Random(part)
+
+    def text(n):
+        return [f"v{rng.randrange(20000)}" for _ in range(n)]
+
+    def worn(passage):
+        return [w if rng.random() >= 0.08 else text(1)[0] for w in passage]
+
+    rows, want = [], set()
+    for i in range(40):
+        passage, pair = text(80), (10_000 + 2 * i, 10_001 + 2 * i)
+        sides = {doc_id: text(30) + worn(passage) + text(30) for doc_id in pair}
+        rows += [(doc_id, " ".join(own)) for doc_id, own in sides.items()]
+        if brute_passage(*sides.values()):
+            want.add(pair)
+        for k in range(6):
+            low = (0, 20, 80 - part)[k % 3]
+            for doc_id in (20 * i + k, 20_000 + 20 * i + k):
+                rows.append((doc_id, " ".join(text(30) + passage[low : low + part] + text(30))))
+    found = {(r.doc_a, r.doc_b) for r in passages.shared_passages(docs(spark, rows)).collect()}
+    texts = {d for pair in found for d in pair}
+    print(len(want), len(want & found), len({d for pair in want for d in pair} - texts))
+    assert len(want) >= 36 and len(want & found) >= 0.95 * len(want)
+
+
+def reference_matches(rows):
+    """All pairs of up to eight texts of a seed, else those with its first and last text."""
+    met, often, by_seed = set(), set(), {}
+    for seed, _, doc, place, _ in rows:
+        by_seed.setdefault(seed, {}).setdefault(doc, []).append(place)
+    for seed, texts in by_seed.items():
+        many = len(texts) > passages.FEW_TEXTS
+        for a, b in itertools.combinations(sorted(texts), 2):
+            if not many or a == min(texts):
+                met |= {(a, b, min(texts[a]), q) for q in texts[b]}
+            if not many or (b == max(texts) and a != min(texts)):
+                met |= {(a, b, p, min(texts[b])) for p in texts[a]}
+        if many:
+            often |= {(doc, place, seed) for doc, places in texts.items() for place in places}
+    return met, often
+
+
+def test_matches_of_ordered_seeds(monkeypatch):
+    """Matches over any cut into batches against a plain version; blocks of a long seed meet its first text."""
+    rng = random.Random(1)
+    names, types = ["seed", "part", "doc_id", "place", "reach"], [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+    for trial in range(120):
+        block = 12 if trial % 3 == 0 else 50_000
+        monkeypatch.setattr(passages, "BLOCK", block)
+        rows = []
+        for seed in range(rng.randint(0, 6)):
+            for doc in rng.sample(range(40), rng.choice([1, 2, 3, 8, 9, 25])):
+                for place in rng.sample(range(50), rng.choice([1, 1, 3])):
+                    rows += [(seed, 0, doc, place, 0)] * rng.choice([1, 1, 2])
+        rows.sort()
+        batches, i = [], 0
+        while i < len(rows):
+            j = i + rng.choice([1, 5, 40])
+            columns = [pa.array([r[k] for r in rows[i:j]], kind) for k, kind in enumerate(types)]
+            batches.append(pa.RecordBatch.from_arrays(columns, names))
+            i = j
+        got, often = set(), set()
+        for row in (r for b in passages._met(iter(batches)) for r in b.to_pylist()):
+            if row["kind"] == passages.MATCH:
+                got.add((row["doc_a"], row["doc_b"], row["a"], row["b"]))
+            elif row["kind"] == passages.OFTEN:
+                often.add((row["doc_a"], row["a"], row["seed"]))
+        want, want_often = reference_matches(rows)
+        if block > 12:
+            assert (got, often) == (want, want_often)
+        else:
+            assert often >= want_often
+
+
+def test_frequent_seeds_are_dealt_to_parts(spark, monkeypatch):
+    """With small parts each copy still has a partner and the copies hang together."""
+    monkeypatch.setattr(passages, "PART_TEXTS", 12)
+    rng = random.Random(3)
+
+    def text(n):
+        return [f"v{rng.randrange(20000)}" for _ in range(n)]
+
+    passage = text(70)
+    rows = [(i, " ".join(text(20) + passage + text(20))) for i in range(150)]
+    rows += [(i, " ".join(text(90))) for i in range(150, 300)]
+    found = {(r.doc_a, r.doc_b) for r in passages.shared_passages(docs(spark, rows)).collect()}
+    assert {d for pair in found for d in pair} == set(range(150))
+    group = {0}
+    for _ in range(150):
+        group |= {d for pair in found if group & set(pair) for d in pair}
+    assert group == set(range(150))
+
+
+def test_copies_and_repeated_rows_of_passages(spark):
+    rng = random.Random(4)
+    long, short, other = (" ".join(f"v{rng.randrange(20000)}" for _ in range(n)) for n in (60, 20, 70))
+    rows = [(5, long), (3, long), (3, long), (9, long), (4, short), (6, short), (8, other), (8, other), (8, other), (None, long)]
+    found = passages.shared_passages(docs(spark, rows)).collect()
+    assert sorted(map(tuple, found)) == [(3, 5, 0, 60, 0, 60, 60), (3, 9, 0, 60, 0, 60, 60)]
+
+
 def test_repeated_vectors_are_one_row_of_a_shard(spark, monkeypatch):
     rows = [(i, [float(i % 7), float(i % 5)]) for i in range(60)] + [(61, [3.0, 4.0])] * 500 + [(62, [6.0, 1.0])] * 3
     given = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
