@@ -277,6 +277,23 @@ def test_matches_of_ordered_seeds(monkeypatch):
             assert often >= want_often
 
 
+def test_straight_chains_align_alike():
+    """Chains without shifts give the same passages by marks of equal words as by the general way."""
+    rng = random.Random(2)
+    for _ in range(800):
+        size = rng.choice([6, 60, 5000])
+        a = [rng.randrange(size) for _ in range(rng.randint(20, 160))]
+        worn = [w if rng.random() > rng.choice([0, 0.1, 0.3]) else rng.randrange(size) for w in a]
+        before = rng.randint(0, 30)
+        b = [rng.randrange(size) for _ in range(before)] + worn
+        seeds = sorted(rng.sample(range(len(a) - passages.GROUP + 1), rng.randint(2, 8)))
+        want = passages.align(a, b, seeds, [i + before for i in seeds])
+        x, y = np.array(a), np.array(b)
+        assert passages.align_straight(x, y, np.array(seeds), before) == want
+        back = passages.align(b, a, [i + before for i in seeds], seeds)
+        assert passages.align_straight(y, x, np.array(seeds) + before, -before) == back
+
+
 def test_frequent_seeds_are_dealt_to_parts(spark, monkeypatch):
     """With small parts each copy still has a partner and the copies hang together."""
     monkeypatch.setattr(passages, "PART_TEXTS", 12)
