@@ -228,6 +228,73 @@ def test_fuzzy_pairs_behind_partial_holders(spark, part):
     assert len(want) >= 36 and len(want & found) >= 0.95 * len(want)
 
 
+def test_every_pair_of_a_fuzzy_family_is_found(spark):
+    """Fourteen worn copies of 60 words: all pairs meet, not only those with the first and the last text."""
+    rng = random.Random(3)
+
+    def text(n):
+        return [f"v{rng.randrange(20000)}" for _ in range(n)]
+
+    sides, want = {}, set()
+    for family in range(6):
+        passage = text(60)
+        ids = range(100 * family, 100 * family + 14)
+        for doc_id in ids:
+            sides[doc_id] = text(30) + [w if rng.random() >= 0.06 else text(1)[0] for w in passage] + text(30)
+        want |= {(a, b) for a, b in itertools.combinations(ids, 2) if brute_passage(sides[a], sides[b])}
+    rows = [(doc_id, " ".join(own)) for doc_id, own in sides.items()]
+    found = {(r.doc_a, r.doc_b) for r in passages.shared_passages(docs(spark, rows)).collect()}
+    runs = {d: {tuple(own[i : i + passages.CLASS_WORDS]) for i in range(len(own) - passages.CLASS_WORDS + 1)} for d, own in sides.items()}
+
+    def classed(a, b):
+        return any((h, a) in found and (h, b) in found and runs[a] & runs[b] & runs[h] for h in sides)
+
+    lost = [pair for pair in want - found if not classed(*pair)]
+    print(len(want), len(want & found), len(lost))
+    assert len(lost) <= 0.02 * len(want) and found <= want
+
+
+def test_linked_pairs_meet_all_texts_but_those_of_a_class(monkeypatch):
+    """Over any cut into batches each two texts meet, or both meet the first text of their class."""
+    rng = random.Random(8)
+    names = ["seed", "doc_id", "place", "reach", "held"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    monkeypatch.setattr(passages, "CELLS", 30)
+    for _ in range(80):
+        rows = []
+        for seed in range(rng.randint(0, 5)):
+            for doc in rng.sample(range(60), rng.choice([1, 2, 8, 9, 30])):
+                rows += [(seed, doc, place, 15, rng.choice([0, 0, 7, 7, 7, 8])) for place in rng.sample(range(0, 250, 5), rng.choice([1, 1, 2]))]
+        rows.sort()
+        batches, i = [], 0
+        while i < len(rows):
+            j = i + rng.choice([1, 5, 40])
+            columns = [pa.array([r[k] for r in rows[i:j]], kind) for k, kind in enumerate(types)]
+            batches.append(pa.RecordBatch.from_arrays(columns, names))
+            i = j
+        got = [(r["doc_a"], r["doc_b"], r["a"], r["b"]) for b in passages._met_linked(iter(batches)) for r in b.to_pylist()]
+        met = set(got)
+        assert all(a < b for a, b, _, _ in met)
+        for seed in {r[0] for r in rows}:
+            own = [r for r in rows if r[0] == seed]
+            first = {}
+            for _, doc, place, _, _ in own:
+                first.setdefault(doc, place)
+            for (_, a, x, _, held_a), (_, b, y, _, held_b) in itertools.combinations(own, 2):
+                if a == b or (x != first[a] and y != first[b]):
+                    continue
+                if (a, b, x, y) in met and (a, b, x + 15, y + 15) in met:
+                    continue
+                assert len(first) > passages.FEW_TEXTS
+                kinds = [{(r[4], r[2]) for r in own if r[1] == doc and r[4]} for doc in (a, b)]
+                shared = {k for k, _ in kinds[0]} & {k for k, _ in kinds[1]}
+
+                def meets(head, doc, kind):
+                    return doc == head[1] or any((head[1], doc, head[2], p) in met for k, p in kinds[doc == b] if k == kind)
+
+                assert any(r[4] in shared and meets(r, a, r[4]) and meets(r, b, r[4]) for r in own)
+
+
 def reference_matches(rows):
     """All pairs of up to eight texts of a seed, else those with its first and last text."""
     met, often, by_seed = set(), set(), {}
