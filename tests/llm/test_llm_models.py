@@ -212,6 +212,41 @@ def test_planted_leaks_are_found_and_clean_texts_are_not(spark):
     assert decontamination.without_leaks(given, none).count() == given.count()
 
 
+def test_latent_space_is_of_all_passages(spark, monkeypatch):
+    """Every text takes part in the fit, and the products of terms are those of all passages."""
+    rng = random.Random(17)
+    vocabulary = [f"t{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60)))) for i in range(3000)]
+    bench = [(i, " ".join(rng.choice(vocabulary) for _ in range(30))) for i in range(20)]
+    given, seen = docs(spark, rows), []
+    whole = decontamination.latent_space
+
+    def watched(texts, benchmark, lookup, idf):
+        seen.append(texts.count())
+        products, number = decontamination.passage_products(texts, lookup, idf)
+        row, term, value, n = decontamination._sparse_passages(decontamination.Words(pa.array([t for _, t in rows])), lookup, idf)
+        dense = np.zeros((n, len(idf)))
+        dense[row, term] = value
+        got = np.zeros((len(idf), len(idf)))
+        for r in products.collect():
+            got[r["one"], r["other"]] = got[r["other"], r["one"]] = r["product"]
+        assert number == n and np.allclose(got, dense.T @ dense)
+        space = whole(texts, benchmark, lookup, idf)
+        own = decontamination._sparse_passages(decontamination.Words(benchmark), lookup, idf)
+        sides = np.zeros((own[3], len(idf)))
+        sides[own[0], own[1]] = own[2]
+        both = dense.T @ dense + sides.T @ sides * max(1.0, n / own[3])
+        best = np.sort(np.linalg.eigvalsh(both))[::-1][: space.shape[1]].sum()
+        assert np.allclose(space.T @ space, np.eye(space.shape[1]), atol=1e-4)
+        assert np.trace(space.T @ both @ space) >= 0.98 * best
+        return space
+
+    monkeypatch.setattr(decontamination, "latent_space", watched)
+    monkeypatch.setattr(decontamination, "HELD_PRODUCTS", 5000)
+    decontamination.fit_leaks(given, spark.createDataFrame(bench, "item_id long, text string"))
+    assert seen == [len(rows)]
+
+
 def test_leak_search_keeps_every_window():
     """Latent candidates against a brute-force search of the same passages."""
     rng = random.Random(9)
