@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,3 +120,19 @@ def by_field(catalog: Catalog, name: Column, make) -> Column:
         hit = name == spec.name
         chosen = F.when(hit, make(spec)) if chosen is None else chosen.when(hit, make(spec))
     return chosen if chosen is not None else F.lit(None)
+
+
+def by_kind(specs: Iterable[FieldSpec], name: Column, make, otherwise: Column | None = None) -> Column:
+    """As :func:`by_field`, for what depends on a field's kind and lengths: made once for all fields alike.
+
+    ``make(spec)`` may be None for kinds without a value.
+    """
+    alike: dict[tuple, list[FieldSpec]] = {}
+    for spec in specs:
+        alike.setdefault((spec.kind, spec.low, spec.high, spec.lengths), []).append(spec)
+    chosen = F.when(F.lit(False), F.lit(None))
+    for members in alike.values():
+        made = make(members[0])
+        if made is not None:
+            chosen = chosen.when(name.isin(*[s.name for s in members]), made)
+    return chosen if otherwise is None else chosen.otherwise(otherwise)

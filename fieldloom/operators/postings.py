@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.catalog import Catalog, FieldSpec
 from fieldloom.functions.blanks import digits_only, strip
-from fieldloom.functions.fields import index_term, mined_digit_runs
+from fieldloom.functions.fields import by_kind, index_term, mined_digit_runs
 from fieldloom.functions.shards import with_shards
 from fieldloom.operators.records import INVALID_PREFIX, composed_name, document_id, row_id
 
@@ -26,29 +26,34 @@ def postings(documents: DataFrame, catalog: Catalog, keep: tuple[str, ...] = ())
 
     A field is found under the term of its valid value and under the fallback
     terms of its invalid one, each term once per document.
+
+    The maps are unfolded before terms are made, so the work goes by the fields that a
+    document holds, not by those of the catalogue, and the generated code stays small
+    enough for the JVM to compile it.
     """
     ids = ["doc_id", "source_table", "row_id", *keep]
-    valid, invalid = "_valid_{}".format, "_invalid_{}".format
-    stripped = documents.select(
-        *ids,
-        *[strip(F.col("fields")[s.name]).alias(valid(s.name)) for s in catalog.indexed],
-        *[strip(F.col("invalid_fields")[INVALID_PREFIX + s.name]).alias(invalid(s.name)) for s in catalog.indexed],
+    empty = F.array().cast("array<struct<key:string,value:string>>")
+    sides = [F.coalesce(F.map_entries(side), empty) for side in ("fields", "invalid_fields")]
+    given = documents.select(*ids, "fields", F.posexplode_outer(F.concat(*sides)).alias("_place", "_entry"))
+    valid = F.col("_place") < F.coalesce(F.size("fields"), F.lit(0))
+    key = F.col("_entry.key")
+    fallback = F.when(F.startswith(key, F.lit(INVALID_PREFIX)), F.substring(key, len(INVALID_PREFIX) + 1, 1 << 30))
+    named = given.select(
+        *ids, "fields", valid.alias("_valid"), F.when(valid, key).otherwise(fallback).alias("field"), F.col("_entry.value").alias("_value")
     )
-    first, second = "_first_{}".format, "_second_{}".format
-    termed = stripped.select(
-        *ids,
-        *[index_term(s, F.col(valid(s.name))).alias(first(s.name)) for s in catalog.indexed],
-        *[_fallback(s, F.col(invalid(s.name))).alias(second(s.name)) for s in catalog.indexed],
+    named = named.where(F.col("field").isin(*[s.name for s in catalog.indexed]))
+    own = F.when(~F.col("_valid"), F.col("fields")[F.col("field")])
+    stripped = named.select(*ids, "_valid", "field", strip(F.col("_value")).alias("_value"), strip(own).alias("_own"))
+    mined = by_kind(catalog.indexed, F.col("field"), lambda s: mined_digit_runs(s, F.col("_value")) if s.kind == "digits" else None)
+    term = by_kind(catalog.indexed, F.col("field"), lambda s: index_term(s, F.col("_value")))
+    listed = stripped.select(
+        *ids, "field", "_own", F.coalesce(F.when(~F.col("_valid"), mined), F.array(term)).alias("_terms")
     )
-    entries = []
-    for spec in catalog.indexed:
-        one, other = F.col(first(spec.name)), F.col(second(spec.name))
-        entries.append(_single(spec, one))
-        if spec.kind == "digits":
-            entries.append(_several(spec, F.coalesce(F.array_remove(other, one), other)))
-        else:
-            entries.append(_single(spec, F.when(~one.eqNullSafe(other), other)))
-    return _unfold(termed, entries, catalog, keep)
+    # An invalid value beside a valid one does not repeat its term.
+    first = by_kind(catalog.indexed, F.col("field"), lambda s: index_term(s, F.col("_own")))
+    fresh = F.col("_own").isNull() | (F.col("term") != first)
+    unfolded = listed.select(*ids, "field", "_own", F.explode_outer("_terms").alias("term")).where((F.col("term") != "") & fresh)
+    return with_shards(unfolded, catalog).select(*COLUMNS, *keep)
 
 
 def record_postings(records: DataFrame, catalog: Catalog) -> DataFrame:
@@ -91,10 +96,6 @@ def record_postings(records: DataFrame, catalog: Catalog) -> DataFrame:
     return _unfold(rows, entries, catalog)
 
 
-def _fallback(spec: FieldSpec, stripped: Column) -> Column:
-    return mined_digit_runs(spec, stripped) if spec.kind == "digits" else index_term(spec, stripped)
-
-
 def _single(spec: FieldSpec, term: Column) -> Column:
     return F.array(F.struct(F.lit(spec.name).alias("field"), term.alias("term")))
 
@@ -104,10 +105,10 @@ def _several(spec: FieldSpec, terms: Column) -> Column:
     return F.arrays_zip(F.array_repeat(F.lit(spec.name), F.size(found)), found).cast(ENTRIES)
 
 
-def _unfold(rows: DataFrame, entries: list[Column], catalog: Catalog, keep: tuple[str, ...] = ()) -> DataFrame:
-    ids = ["doc_id", "source_table", "row_id", *keep]
+def _unfold(rows: DataFrame, entries: list[Column], catalog: Catalog) -> DataFrame:
+    ids = ["doc_id", "source_table", "row_id"]
     listed = rows.select(*ids, F.concat(*entries).alias("_entries"))
     # The outer form: for the plain one Spark adds a "not empty" filter below,
     # which would compute the whole array a second time.
     unfolded = listed.select(*ids, F.inline_outer("_entries")).where(F.col("term") != "")
-    return with_shards(unfolded, catalog).select(*COLUMNS, *keep)
+    return with_shards(unfolded, catalog).select(*COLUMNS)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.catalog import Catalog, NameParts
 from fieldloom.functions.blanks import digits_only, null_if_empty, strip
-from fieldloom.functions.fields import clean_value
+from fieldloom.functions.fields import by_kind, clean_value
 
 INVALID_PREFIX = "no_valid_"
 MAP = "map<string,string>"
@@ -61,10 +61,8 @@ def route(raw: Column, catalog: Catalog) -> tuple[Column, list[str]]:
         return F.struct(entry["key"].alias("key"), entry["given"].alias("given"), digits.alias("digits"))
 
     def checked(entry: Column) -> Column:
-        value = entry["given"]
-        for spec in reversed(catalog.fields):
-            clean = clean_value(spec, entry["given"], entry["digits"])
-            value = F.when(entry["key"] == spec.name, clean).otherwise(value)
+        clean = by_kind(catalog, entry["key"], lambda s: clean_value(s, entry["given"], entry["digits"]))
+        value = F.when(~entry["key"].isin(*known), entry["given"]).otherwise(clean)
         return F.struct(entry["key"].alias("key"), entry["given"].alias("given"), value.alias("value"))
 
     filled = F.filter(F.map_entries(raw), lambda e: e["value"].isNotNull() & (e["value"] != ""))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 ROWS_PER_FILE = 2_000_000
 ROW_GROUP_BYTES = 4 << 20
+#: Documents are read by row groups; one of Parquet's usual size would be work for minutes in one task.
+DOCUMENT_GROUP_BYTES = 16 << 20
 
 
 def write_documents(documents: DataFrame, path: str, mode: str = "append", rows_per_file: int = ROWS_PER_FILE) -> None:
@@ -16,6 +18,7 @@ def write_documents(documents: DataFrame, path: str, mode: str = "append", rows_
         .partitionBy("source_table")
         .option("maxRecordsPerFile", rows_per_file)
         .option("parquet.bloom.filter.enabled#doc_id", "true")
+        .option("parquet.block.size", DOCUMENT_GROUP_BYTES)
         .parquet(path)
     )
 
@@ -28,6 +31,7 @@ def replace_sources(documents: DataFrame, path: str) -> None:
         .partitionBy("source_table")
         .option("maxRecordsPerFile", ROWS_PER_FILE)
         .option("parquet.bloom.filter.enabled#doc_id", "true")
+        .option("parquet.block.size", DOCUMENT_GROUP_BYTES)
         .parquet(path)
     )
 

@@ -50,6 +50,8 @@ RUN_SCHEMA = (
 IMPORT_SCHEMA = "source_table string"
 #: So many parts of one size are merged into one.
 FAN = 8
+#: Up to so many files of a run are told to the reader by name; more are only joined.
+NAMED_FILES = 10_000
 
 
 def file_path() -> Column:
@@ -251,6 +253,11 @@ class RecordStore:
         wanted = of("new", "changed", "unchanged") if mode == "full" else of("new", "changed")
         files = listed.join(wanted, "file_name", "left_semi")
         stored = self.documents.withColumn("_file", file_path())
+        if mode != "full":
+            # Told by name, files that are left out are not opened; the listing is the driver's anyway.
+            names = [r["file_name"] for r in files.select("file_name").limit(NAMED_FILES + 1).collect()]
+            if len(names) <= NAMED_FILES:
+                stored = stored.where(F.col("_file").isin(names))
         # Also for a full build: files that arrived since the listing are left out.
         stored = stored.join(files.select(F.col("file_name").alias("_file")), "_file", "left_semi")
         reused = 0 if mode == "full" else plan["unchanged"]
