@@ -153,8 +153,10 @@ def matched_terms(terms: DataFrame, words: DataFrame, keep: tuple[str, ...] = ()
     """
     spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     patterns = pattern_keys(terms.where("wildcard").select("query_id", "field", "term").distinct())
-    # The kinds are a fixed handful.
-    kinds = [r["kind"] for r in patterns.select("kind").distinct().collect()]
+    # The kinds are a fixed handful, and the fields those of the catalogue.
+    asked = patterns.select("field", "kind").distinct().collect()
+    kinds, fields = ({r[name] for r in asked} for name in ("kind", "field"))
+    words = words.where(F.col("field").isin(sorted(fields)))
     patterns = patterns.select(
         "query_id",
         "field",
@@ -167,7 +169,7 @@ def matched_terms(terms: DataFrame, words: DataFrame, keep: tuple[str, ...] = ()
         spread,
     )
     salt = F.pmod(F.xxhash64("term", *keep), F.lit(salts)).cast("int").alias("salt")
-    keyed = word_keys(words.select("field", "term", *keep, salt), kinds)
+    keyed = word_keys(words.select("field", "term", *keep, salt), sorted(kinds))
     pairs = keyed.join(patterns, ["field", "kind", "key", "salt"])
     # The whole prefix is compared before a pattern is compiled.
     pairs = pairs.where(F.startswith(F.col("term"), F.col("prefix")))

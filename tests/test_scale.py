@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from fieldloom.operators import batch
 from fieldloom.operators.postings import postings
 from fieldloom.sources.tables import TABLE_CATALOG
 from fieldloom.streaming.upkeep import DOCUMENT_SCHEMA
@@ -20,3 +21,19 @@ def test_code_of_postings_is_small_enough_to_be_compiled(spark, tmp_path):
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", shown.getvalue())]
     # HotSpot leaves methods over 8000 bytes to its interpreter.
     assert sizes and max(sizes) < 8000
+
+
+def test_wildcards_unfold_only_the_fields_some_pattern_asks_for(spark, monkeypatch):
+    terms = spark.createDataFrame([(1, "mail", "a%", True)], "query_id long, field string, term string, wildcard boolean")
+    words = spark.createDataFrame([("mail", "abc"), ("mail", "bc"), ("number", "a1"), ("label", "a b")], "field string, term string")
+    unfolded = []
+    keys = batch.word_keys
+
+    def noted(given, kinds):
+        unfolded.append(given.select("field").distinct().collect())
+        return keys(given, kinds)
+
+    monkeypatch.setattr(batch, "word_keys", noted)
+    found = batch.matched_terms(terms, words).select("query_id", "term").collect()
+    assert [tuple(r) for r in found] == [(1, "abc")]
+    assert [[r["field"] for r in seen] for seen in unfolded] == [["mail"]]
