@@ -39,18 +39,18 @@ def query_terms(queries: DataFrame, catalog: Catalog) -> DataFrame:
     return termed.where(F.col("term").isNotNull()).withColumn("wildcard", has_wildcard(F.col("term")))
 
 
-def exact_hits(postings: DataFrame, terms: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Hits of exact terms: ``query_id, doc_id, source_table``.
+def exact_hits(postings: DataFrame, terms: DataFrame, salts: int = SALTS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Hits of exact terms: ``query_id, doc_id, source_table``, with the columns of ``terms`` in ``keep``.
 
     Postings of one term are spread over ``salts`` join keys, so a term that
     holds a third of all postings fills that many tasks, not one.
     """
     spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    wanted = terms.where(~F.col("wildcard")).select("query_id", "field", "term", spread)
+    wanted = terms.where(~F.col("wildcard")).select("query_id", *keep, "field", "term", spread)
     salted = postings.select(
         "field", "term", "doc_id", "source_table", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")
     )
-    return salted.join(wanted, ["field", "term", "salt"]).select("query_id", "doc_id", "source_table")
+    return salted.join(wanted, ["field", "term", "salt"]).select("query_id", "doc_id", "source_table", *keep)
 
 
 def of_fields(postings: DataFrame, terms: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def batch_search(
 
 
 def batch_and(
-    postings: DataFrame, queries: DataFrame, catalog: Catalog, salts: int = SALTS, words: DataFrame | None = None
+    postings: DataFrame, queries: DataFrame, catalog: Catalog, salts: int = 1, words: DataFrame | None = None
 ) -> DataFrame:
     """Documents that meet all lines of a query: ``query_id, doc_id, source_table``.
 
@@ -210,43 +210,48 @@ def batch_and(
     several lines.
 
     It is a division: a document is found when it meets as many distinct lines as the
-    query has. Hits of a line that half of all documents meet are never made per
+    query has. Terms are matched and counted per distinct line, however many queries hold
+    it. Hits of a line that half of all documents meet are never made per
     query: each query's rarest line proposes its documents, and of those alone the
-    other lines are checked, by the terms the documents hold.
+    other lines are checked, by the terms the documents hold. Adaptive joins split a
+    hot term, as all tables here are at rest; ``salts`` would multiply the lines.
     """
     lines = query_terms(queries, catalog).select("query_id", "field", F.col("term").alias("line"), "wildcard").distinct()
-    asked = lines.withColumn("term", F.col("line"))
-    exact = asked.where(~F.col("wildcard")).select("query_id", "field", "line", "term")
+    lines = written(lines, "batch-queries")
+    asked = lines.select(F.lit(0).alias("query_id"), "field", F.col("line").alias("term"), "wildcard").distinct()
+    exact = asked.where(~F.col("wildcard")).select("field", F.col("term").alias("line"), "term")
     known = vocabulary(of_fields(postings, asked.where("wildcard"))) if words is None else words
-    wanted = written(exact.unionByName(matched_terms(asked, known, salts=salts)), "batch-lines")
+    matched = matched_terms(asked, known, salts=SALTS).select("field", "line", "term")
+    wanted = written(exact.unionByName(matched), "batch-lines")
 
     # Postings of some wanted term, each once, whatever the number of queries.
-    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    keys = wanted.select("field", "term").distinct().select("field", "term", spread)
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")
-    met = postings.select("field", "term", "doc_id", "source_table", salt).join(keys, ["field", "term", "salt"], "left_semi")
-    met = written(met.drop("salt"), "batch-postings")
+    keys = wanted.select("field", "term").distinct()
+    met = postings.select("field", "term", "doc_id", "source_table").join(keys, ["field", "term"], "left_semi")
+    met = written(met, "batch-postings")
 
     counts = met.groupBy("field", "term").agg(F.count("*").alias("n"))
-    sizes = wanted.join(counts, ["field", "term"], "left").groupBy("query_id", "field", "line").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n")
-    )
-    # Lines that matched no term at all have no row among the wanted ones.
+    sizes = wanted.join(counts, ["field", "term"]).groupBy("field", "line").agg(F.sum("n").alias("n"))
+    # Lines that no posting meets have no size.
     size = F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("field"), F.col("line"))
     per_query = (
-        lines.join(sizes, ["query_id", "field", "line"], "left")
+        lines.join(sizes, ["field", "line"], "left")
         .groupBy("query_id")
         .agg(F.count("*").alias("lines"), F.min(size).alias("rarest"))
         .where("rarest.n > 0")
     )
-    per_query = written(per_query, "batch-queries")
-    rarest = per_query.select("query_id", F.col("rarest.field").alias("field"), F.col("rarest.line").alias("line"))
-    first = wanted.join(rarest, ["query_id", "field", "line"]).withColumn("wildcard", F.lit(False))
-    candidates = written(exact_hits(met, first, salts).distinct(), "batch-candidates")
-
-    # What the candidates hold of all wanted terms, and which lines of their queries that meets.
+    per_query = written(per_query, "batch-rarest")
+    rarest = per_query.select("query_id", "lines", F.col("rarest.field").alias("field"), F.col("rarest.line").alias("line"))
+    first = wanted.join(rarest, ["field", "line"]).withColumn("wildcard", F.lit(False))
     ids = ["doc_id", "source_table"]
-    held = met.join(candidates.select(*ids).distinct(), ids, "left_semi").distinct()
-    checks = candidates.join(held, ids).join(wanted, ["query_id", "field", "term"])
-    found = checks.select("query_id", *ids, "field", "line").distinct().groupBy("query_id", *ids).agg(F.count("*").alias("met"))
-    return found.join(per_query.select("query_id", "lines"), "query_id").where("met = lines").select("query_id", *ids)
+    candidates = exact_hits(met, first, salts, ("lines",)).distinct()
+    candidates = written(candidates, "batch-candidates")
+
+    # What is left of each query, and which of it the candidates' own terms meet.
+    rest = lines.select("query_id", "field", "line").join(rarest, ["query_id", "field", "line"], "left_anti")
+    pairs = candidates.where("lines > 1").join(rest, "query_id")
+    held = pairs.join(met, [*ids, "field"]).join(wanted, ["field", "line", "term"], "left_semi")
+    # Dealt by query and document, both steps of the count are made in place.
+    dealt = held.select("query_id", *ids, "lines", "field", "line").repartition("query_id", *ids)
+    found = dealt.distinct().groupBy("query_id", *ids).agg(F.count("*").alias("met"), F.max("lines").alias("lines"))
+    several = found.where("met = lines - 1").select("query_id", *ids)
+    return candidates.where("lines = 1").select("query_id", *ids).unionByName(several)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import batch
 from fieldloom.operators.postings import postings
+from fieldloom.session import written
 from fieldloom.sources.tables import TABLE_CATALOG
 from fieldloom.streaming.upkeep import DOCUMENT_SCHEMA
 
@@ -37,3 +38,27 @@ def test_wildcards_unfold_only_the_fields_some_pattern_asks_for(spark, monkeypat
     found = batch.matched_terms(terms, words).select("query_id", "term").collect()
     assert [tuple(r) for r in found] == [(1, "abc")]
     assert [[r["field"] for r in seen] for seen in unfolded] == [["mail"]]
+
+
+def test_a_pattern_of_many_queries_is_matched_once(spark, monkeypatch):
+    """The terms of a line do not grow with the queries that hold it."""
+    index = spark.createDataFrame(
+        [(f, t, f"d:{i}", "d") for i in range(40) for f, t in (("ref", f"10000000{i:02d}"), ("order_date", f"{i % 20 + 10}.01.2001"))],
+        "field string, term string, doc_id string, source_table string",
+    )
+    asked = [(q, "ref", f"10000000{q:02d}") for q in range(40)] + [(q, "order_date", "%.2001") for q in range(40)]
+    asked += [(100, "order_date", "10.01.2001"), (100, "ref", "1000000000"), (101, "order_date", "11.01.2001"), (101, "ref", "1000000000")]
+    asked += [(102, "order_date", "1?.01.2001"), (102, "order_date", "%.2001"), (103, "status", "F"), (103, "ref", "1000000000")]
+    queries = spark.createDataFrame(asked, "query_id long, field string, value string")
+    sizes = {}
+
+    def noted(rows, purpose):
+        sizes[purpose] = rows.count()
+        return written(rows, purpose)
+
+    monkeypatch.setattr(batch, "written", noted)
+    found = {(r["query_id"], r["doc_id"]) for r in batch.batch_and(index, queries, TABLE_CATALOG).collect()}
+    few = {(102, f"d:{i}") for i in range(40) if i % 20 < 10}
+    assert found == {(q, f"d:{q}") for q in range(40)} | {(100, "d:0")} | few
+    # 40 ref lines, two days, 20 terms of one pattern and 10 of the other, and F.
+    assert sizes["batch-lines"] == 40 + 2 + 20 + 10 + 1
