@@ -83,6 +83,20 @@ def route_sides(routed: Column, known: list[str]) -> tuple[Column, Column]:
     return F.map_from_entries(fields), F.map_from_entries(invalid)
 
 
+def records_of(records: DataFrame, ids: DataFrame) -> DataFrame:
+    """The raw records of the given ids (``doc_id, source_table``), which may repeat.
+
+    Documents made of these alone are those of all records with these ids, but no record
+    that nobody asked for is checked and unfolded. Sources without an id are left out
+    before records are moved.
+    """
+    keys = ["doc_id", "source_table"]
+    met = F.broadcast(ids.select("source_table").distinct())
+    row = row_id(F.col("raw"), F.col("seq"))
+    keyed = records.join(met, "source_table", "left_semi").withColumn("doc_id", document_id(F.col("source_table"), row))
+    return keyed.join(ids.select(*keys), keys, "left_semi").select(*records.columns)
+
+
 def documents(records: DataFrame, catalog: Catalog, imported_at: Column | None = None) -> DataFrame:
     """One document per raw record. A projection: no shuffle."""
     shaped = records.withColumn("_shaped", shape_names(F.col("raw"), catalog.names))

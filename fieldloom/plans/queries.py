@@ -17,7 +17,7 @@ from fieldloom.functions.typed_input import is_acceptable, sanitize
 from fieldloom.operators import batch, export, manifest, naming, profile, results, segments, sources
 from fieldloom.operators.positions import block_of
 from fieldloom.operators.postings import postings
-from fieldloom.operators.records import documents, route, route_sides, shape_names
+from fieldloom.operators.records import documents, records_of, route, route_sides, shape_names
 from fieldloom.operators.search import matching_ids, resolve
 from fieldloom.session import shared_dir, written
 from fieldloom.sources import json_folder, sinks
@@ -223,6 +223,13 @@ def line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.batch_and(asked, line_queries(spark, sf_dir), TABLE_CATALOG)
 
 
+def hit_records(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
+    """Full records per query of hits, of which only those found become documents."""
+    hits = written(hits, "batch-hits")
+    stored = documents(records_of(all_records(spark, sf_dir), hits), TABLE_CATALOG).drop("raw")
+    return results.batch_records(stored, hits)
+
+
 @query
 def batch_and(spark, sf_dir):
     """Documents that meet every line of a query."""
@@ -232,16 +239,14 @@ def batch_and(spark, sf_dir):
 @query
 def batch_records(spark, sf_dir):
     """Full records per query; a document that many queries find is fetched once."""
-    stored = documents(all_records(spark, sf_dir), TABLE_CATALOG).drop("raw")
-    found = results.batch_records(stored, line_hits(spark, sf_dir))
+    found = hit_records(spark, sf_dir, line_hits(spark, sf_dir))
     return found.select("query_id", "doc_id", "source_table", "seq", map_text(F.col("fields")).alias("fields"))
 
 
 @query
 def batch_headers(spark, sf_dir):
     """Per query the sources met, with their records."""
-    stored = documents(all_records(spark, sf_dir), TABLE_CATALOG).drop("raw")
-    found = results.batch_records(stored, line_hits(spark, sf_dir))
+    found = hit_records(spark, sf_dir, line_hits(spark, sf_dir))
     return results.result_headers(found, source_rows(spark, sf_dir), by=("query_id",))
 
 
@@ -251,9 +256,8 @@ def batch_export(spark, sf_dir):
     folder = shared_dir(spark, "query-list")
     table(spark, sf_dir, "supplier").select(F.concat(F.lit("  "), "s_name")).write.text(folder)
     asked = written(json_folder.read_queries(spark, folder, "ref"), "query-list-rows")
-    store = documents(all_records(spark, sf_dir), TABLE_CATALOG).drop("raw")
     hits = batch.batch_and(table_postings(spark, sf_dir, {"ref"}), asked, TABLE_CATALOG)
-    found = written(results.batch_records(store, hits), "batch-export")
+    found = written(hit_records(spark, sf_dir, hits), "batch-export")
     headers = results.result_headers(found, source_rows(spark, sf_dir), by=("query_id",))
     lines = export.csv_lines(found, headers, by=("query_id",))
     return lines.join(asked.select("query_id", F.trim("value").alias("value")), "query_id").drop("query_id")

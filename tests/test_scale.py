@@ -4,10 +4,14 @@ import contextlib
 import io
 import re
 
+import pytest
+from helpers import CATALOG, records, rows
 from pyspark.sql import functions as F
 
 from fieldloom.operators import batch
 from fieldloom.operators.postings import postings
+from fieldloom.operators.records import documents, records_of
+from fieldloom.plans import queries
 from fieldloom.session import written
 from fieldloom.sources.tables import TABLE_CATALOG
 from fieldloom.streaming.upkeep import DOCUMENT_SCHEMA
@@ -62,3 +66,40 @@ def test_a_pattern_of_many_queries_is_matched_once(spark, monkeypatch):
     assert found == {(q, f"d:{q}") for q in range(40)} | {(100, "d:0")} | few
     # 40 ref lines, two days, 20 terms of one pattern and 10 of the other, and F.
     assert sizes["batch-lines"] == 40 + 2 + 20 + 10 + 1
+
+
+@pytest.mark.parametrize("name", ["batch_records", "batch_headers", "batch_export"])
+def test_documents_are_made_of_found_records_only(spark, monkeypatch, name):
+    """Records that no query of a batch finds, most of all, are not checked and unfolded."""
+    sizes, hits = [], {}
+
+    def noted(given, catalog):
+        sizes.append(given.count())
+        return documents(given, catalog)
+
+    def kept(rows, purpose):
+        hits[purpose] = written(rows, purpose)
+        return hits[purpose]
+
+    monkeypatch.setattr(queries, "documents", noted)
+    monkeypatch.setattr(queries, "written", kept)
+    found = queries.REGISTRY[name](spark, "/root/testdata/sf0.001")
+    # Hits are made once, for the records and for the queries that found them.
+    assert found.count() and sizes == [hits["batch-hits"].select("doc_id", "source_table").distinct().count()]
+    assert sizes[0] < queries.all_records(spark, "/root/testdata/sf0.001").count()
+
+
+def test_records_of_ids(spark):
+    """Ids repeat, are of other sources, of no record, or of two; a record without an id has its number."""
+    given = records(spark, [{"id": "7", "mail": "a@x.org"}, {"mail": "b@x.org"}, {"id": "7", "mail": "c@x.org"}, {"id": "", "mail": "d@x.org"}])
+    given = given.unionByName(records(spark, [{"id": "7", "mail": "e@x.org"}], "others"))
+    asked = [("people:7", "people"), ("people:7", "people"), ("people:2", "people"), ("people:9", "people"), ("others:7", "people")]
+    ids = spark.createDataFrame([(1, *a) for a in asked], "query_id int, doc_id string, source_table string")
+    left = records_of(given, ids)
+    assert left.columns == given.columns
+    assert rows(left, "source_table", "seq") == [("people", 1), ("people", 2), ("people", 3)]
+    every = documents(given, CATALOG).join(ids, ["doc_id", "source_table"], "left_semi").select("doc_id", "seq", "fields")
+    made = documents(left, CATALOG).select("doc_id", "seq", "fields")
+    key = lambda r: (r["doc_id"], r["seq"])
+    assert sorted(made.collect(), key=key) == sorted(every.collect(), key=key)
+    assert records_of(given, ids.limit(0)).count() == 0
