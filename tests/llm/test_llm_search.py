@@ -254,6 +254,43 @@ def test_every_pair_of_a_fuzzy_family_is_found(spark):
     assert len(lost) <= 0.02 * len(want) and found <= want
 
 
+def test_links_of_a_large_family_follow_from_its_hub(spark):
+    """Of thirty worn copies of 150 words each pair is in a row, or two rows with one text imply it."""
+    rng = random.Random(5)
+
+    def text(n):
+        return [f"v{rng.randrange(20000)}" for _ in range(n)]
+
+    passage, sides = text(150), {}
+    for doc_id in range(30):
+        sides[doc_id] = text(20) + [w if rng.random() >= 0.04 else text(1)[0] for w in passage] + text(20)
+    rows = passages.shared_passages(docs(spark, [(doc_id, " ".join(own)) for doc_id, own in sides.items()])).collect()
+    found, held = {(r.doc_a, r.doc_b) for r in rows}, {}
+    for r in rows:
+        other = max(r.end_a - r.start_a, r.end_b - r.start_b) - r.n_equal
+        held.setdefault(r.doc_b, []).append((r.doc_a, r.start_a, r.end_a, other))
+
+    def follows(a, b):
+        for (h, s, e, n), (k, t, f, m) in itertools.product(held.get(a, []), held.get(b, [])):
+            both = min(e, f) - max(s, t)
+            if h == k and both - n - m >= max(passages.LEAST_WORDS, passages.AGREE * (both + max(n, m))):
+                return True
+        return False
+
+    pairs = list(itertools.combinations(sides, 2))
+    assert all(brute_passage(sides[a], sides[b]) for a, b in pairs)
+    assert all(pair in found or follows(*pair) for pair in pairs)
+    print(len(pairs), len(found))
+    assert len(found) < len(pairs) / 2
+
+
+def test_implied_links_need_enough_equal_words():
+    """Overlap 100: 9 other words on both sides leave 82 of at most 109; 10 leave 80 of 110, which is too few."""
+    for other, far, hub, want in ((9, 0, 1, True), (10, 0, 1, False), (9, 18, 1, True), (9, 19, 1, False), (9, 0, 2, False), (-1, 0, 1, False)):
+        cover = [np.array(c) for c in ([1, hub], [50, 50 + far], [0, 20], [120, 130], [other, other])]
+        assert passages.implied(cover, np.array([0]), np.array([1])).tolist() == [want]
+
+
 def test_linked_pairs_meet_all_texts_but_those_of_a_class(monkeypatch):
     """Over any cut into batches each two texts meet, or both meet the first text of their class."""
     rng = random.Random(8)
