@@ -228,6 +228,75 @@ def test_fuzzy_pairs_behind_partial_holders(spark, part):
     assert len(want) >= 36 and len(want & found) >= 0.95 * len(want)
 
 
+def test_stretches_that_repeat_are_shared(spark):
+    """Two texts share nothing but a stretch of one, two or four words over and over."""
+    rng = random.Random(6)
+
+    def text(n):
+        return [f"v{rng.randrange(20000)}" for _ in range(n)]
+
+    rows, want = [], set()
+    for i, period in enumerate((["z"], ["y", "x"], ["w", "v", "u", "t"], ["s", "r", "q"])):
+        for side in range(2):
+            rows.append((2 * i + side, " ".join(text(30 + 7 * side) + (period * 90)[side : 60 + 9 * side] + text(30))))
+        want.add((2 * i, 2 * i + 1))
+    found = passages.shared_passages(docs(spark, rows)).collect()
+    assert {(r.doc_a, r.doc_b) for r in found} == want
+    assert all(r.n_equal >= 45 for r in found)
+
+
+def test_fuzzy_pairs_of_frequent_words_are_found(spark):
+    """Pairs of 50 words with 20 % replaced; ten texts each hold the first and the last 30 words."""
+    rng = random.Random(21)
+
+    def text(n):
+        return [f"v{rng.randrange(20000)}" for _ in range(n)]
+
+    rows, want = [], set()
+    for i in range(120):
+        passage, pair = text(50), (10_000 + 2 * i, 10_001 + 2 * i)
+        sides = (text(30) + passage + text(30), text(40) + [w if rng.random() >= 0.2 else text(1)[0] for w in passage] + text(20))
+        rows += [(doc_id, " ".join(own)) for doc_id, own in zip(pair, sides, strict=True)]
+        if brute_passage(*sides):
+            want.add(pair)
+        for k in range(20):
+            doc_id = (20_000 if k % 4 < 2 else 0) + 20 * i + k
+            rows.append((doc_id, " ".join(text(20) + (passage[:30] if k % 2 else passage[20:]) + text(20))))
+    found = {(r.doc_a, r.doc_b) for r in passages.shared_passages(docs(spark, rows)).collect()}
+    print(len(want), len(want & found))
+    assert len(want) >= 90 and len(want & found) >= 0.94 * len(want)
+
+
+def test_a_rare_and_a_frequent_seed_make_a_pair(spark):
+    """Of each pair's same seeds all but one are frequent; the frequent ones lie within ten words."""
+    rng = random.Random(17)
+
+    def text(n):
+        return [f"v{rng.randrange(20000)}" for _ in range(n)]
+
+    def seeds(own):
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1]), "text": pa.array([" ".join(own)])})
+        (found,) = passages._seeds(iter([batch]))
+        return dict(zip(found["place"].to_pylist(), found["seed"].to_pylist(), strict=True))
+
+    rows, want = [], set()
+    while len(want) < 40:
+        i = len(want)
+        line = text(12)
+        passage = text(20) + line + text(18)
+        a = text(30) + passage + text(30)
+        b = text(30) + [w if 20 <= k < 32 or rng.random() >= 0.3 else text(1)[0] for k, w in enumerate(passage)] + text(30)
+        one, two = seeds(a), seeds(b)
+        same = [p for p in one if one[p] == two.get(p)]
+        rare = [p for p in same if not 50 <= p <= 58]
+        if len(rare) == 1 and len(same) > 1 and brute_passage(a, b):
+            want.add((10_000 + 2 * i, 10_001 + 2 * i))
+            rows += [(10_000 + 2 * i, " ".join(a)), (10_001 + 2 * i, " ".join(b))]
+            rows += [(20 * i + k + 20_000 * (k % 2), " ".join(text(20) + line + text(20))) for k in range(12)]
+    found = {(r.doc_a, r.doc_b) for r in passages.shared_passages(docs(spark, rows)).collect()}
+    assert found == want
+
+
 def test_every_pair_of_a_fuzzy_family_is_found(spark):
     """Fourteen worn copies of 60 words: all pairs meet, not only those with the first and the last text."""
     rng = random.Random(3)
