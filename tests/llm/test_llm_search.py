@@ -507,3 +507,33 @@ def test_repeated_vectors_are_one_row_of_a_shard(spark, monkeypatch):
         want += [(query, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
     assert sorted(map(tuple, got)) == sorted(want)
     assert kept["shards"].agg(F.sum(F.size("vectors"))).first()[0] == 62
+
+
+def test_shards_and_blocks_meet_without_copies(spark, monkeypatch):
+    """Many shards and blocks: a query's hits are ``k`` per group of shards, and no shard or block is moved once for each other."""
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(600, 8)).round(2)
+    given = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 4)
+    kept, write = {}, topk.written
+    monkeypatch.setattr(topk, "written", lambda df, purpose: kept.setdefault(purpose, (write(df, purpose), df))[0])
+    got = topk.top_k(given, F.col("vec_id") % 4 == 0, k=5, shard_rows=10).collect()
+    whole = np.floor(64 * vectors)
+    want = []
+    for query in range(0, 600, 4):
+        best = sorted((-int(whole[query] @ v), i) for i, v in enumerate(whole) if i != query)[:5]
+        want += [(query, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    found, plan = kept["found"]
+    assert kept["shards"][0].count() >= 40 and found.count() < 150 * 5 * 10
+    plan = plan._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan and "sequence" not in plan
+
+
+def test_wide_vectors_make_small_shards(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROW_BYTES", 8 * 50 * 4)
+    kept, write = {}, topk.written
+    monkeypatch.setattr(topk, "written", lambda df, purpose: kept.setdefault(purpose, write(df, purpose)))
+    given = spark.createDataFrame([(i, [float(i % 9)] * 50) for i in range(200)], "vec_id long, embedding array<double>")
+    assert topk.top_k(given, F.col("vec_id") % 50 == 0, k=3).count() == 12
+    assert kept["shards"].count() > 30
