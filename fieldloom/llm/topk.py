@@ -185,15 +185,16 @@ def top_k(
 
     def listed(rows: DataFrame, number: Column, count: int, key: str, name: str) -> DataFrame:
         # As many partitions as lists, so that a task holds few of them.
-        dealt = rows.withColumn(key, number).repartition(count, key)
+        dealt = rows.withColumn(key, number).repartitionById(count, F.col(key).cast("int"))
         return written(dealt.groupBy(key).agg(F.collect_list(F.struct("vec_id", "q", "copies")).alias(name)), f"{key}s")
 
     # Repeated ids are spread by their vectors.
     sharded = listed(given, F.pmod(F.xxhash64("vec_id", "q"), F.lit(shards)), shards, "shard", "vectors")
     asked = listed(given.filter(is_query), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)), blocks, "block", "queries")
     # Each block in a task with each group of shards, which is read and not copied.
-    asked = asked.repartition(blocks, "block").hint("shuffle_replicate_nl")
-    pairs = sharded.repartition(groups, "shard").crossJoin(asked).select("block", "queries", "vectors")
+    asked = asked.repartitionById(blocks, F.col("block").cast("int")).hint("shuffle_replicate_nl")
+    group = F.pmod("shard", F.lit(groups)).cast("int")
+    pairs = sharded.repartitionById(groups, group).crossJoin(asked).select("block", "queries", "vectors")
     # A row holds a whole shard and a block of queries.
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)
