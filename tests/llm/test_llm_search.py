@@ -418,6 +418,48 @@ def reference_matches(rows):
     return met, often
 
 
+def test_stretches_of_one_word_meet_their_class(monkeypatch):
+    """Stretches of one word by 9 to 40 texts: each two that share a passage by them meet, or both meet the class's first text."""
+    rng = random.Random(12)
+    for trial in range(25):
+        texts = {}
+        for doc in range(rng.randint(9, 40)):
+            around = [[f"u{rng.randrange(4)}" for _ in range(rng.choice([0, 3, 20, 70]))] for _ in range(2)]
+            texts[doc] = around[0] + ["z"] * rng.choice([16, 25, 30, 34, 36, 44, 45, 60, 90]) + around[1]
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(list(texts)), "text": pa.array([" ".join(t) for t in texts.values()])})
+        cover = pa.array([[]] * len(texts), pa.list_(pa.struct([(n, pa.int64()) for n in ("hub", "hub_low", "hub_high", "low", "high", "other")])))
+        runs = pa.Table.from_batches(passages._runs(iter([batch.append_column("covers", cover)])))
+        runs = runs.sort_by([("seed", "ascending"), ("doc_id", "ascending"), ("place", "ascending")]).combine_chunks()
+        monkeypatch.setattr(passages, "RUN_PAIRS", rng.choice([5, 1 << 14]))
+        met = [r for b in passages._met_runs(iter(runs.to_batches(max_chunksize=rng.choice([1, 7, 1000])))) for r in b.to_pylist()]
+        for r in met:
+            assert texts[r["doc_a"]][r["a"] : r["a"] + 4] == texts[r["doc_b"]][r["b"] : r["b"] + 4]
+        pairs = {(r["doc_a"], r["doc_b"]) for r in met}
+        assert all(a < b for a, b in pairs) and len(pairs) <= len(texts) * (len(texts) - 1) // 2
+        long = {d: t.count("z") for d, t in texts.items()}
+        for a, b in itertools.combinations(texts, 2):
+            begins = [texts[d].index("z") for d in (a, b)]
+            rooms = [(min(45, len(texts[d]) - i) == 45, i + long[d] >= 45) for d, i in zip((a, b), begins, strict=True)]
+            heads = [h for h in texts if long[h] >= 34 and all(d == h or (min(d, h), max(d, h)) in pairs for d in (a, b))]
+            if min(long[a], long[b]) >= 34 and (rooms[0][0] and rooms[1][0] or rooms[0][1] and rooms[1][1]):
+                assert (a, b) in pairs or heads
+            elif min(long[a], long[b]) < 34 or not any(rooms[0]) or not any(rooms[1]):
+                for shift in {begins[0] - begins[1], begins[0] + long[a] - begins[1] - long[b]}:
+                    x, y = texts[a][max(0, shift) :], texts[b][max(0, -shift) :]
+                    same = np.concatenate(([0], np.cumsum([u == v for u, v in zip(x, y, strict=False)])))
+                    if any((same[n:] - same[:-n] >= 0.75 * n).any() for n in range(45, min(64, len(same)))):
+                        assert (a, b) in pairs
+
+
+def test_families_of_one_word_make_few_rows(spark):
+    """Sixty texts with 50 to 109 times one word are in a row with the first of them, not all with each other."""
+    rng = random.Random(4)
+    rows = [(i, " ".join([f"v{rng.randrange(20000)}" for _ in range(40)] + ["z"] * (50 + i) + [f"v{rng.randrange(20000)}" for _ in range(40)])) for i in range(60)]
+    found = passages.shared_passages(docs(spark, rows)).collect()
+    assert {r.doc_b for r in found if r.doc_a == 0} == set(range(1, 60))
+    assert len(found) < 400
+
+
 def test_matches_of_ordered_seeds(monkeypatch):
     """Matches over any cut into batches against a plain version; blocks of a long seed meet its first text."""
     rng = random.Random(1)
